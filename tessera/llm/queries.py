@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from tessera.llm import exact_dedup, mixing, token_counts
+from tessera.llm import decontamination, exact_dedup, html_text, mixing, simhash, substring_dedup, token_counts, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op2_decontamination": decontamination.op2_decontamination,
+        "op3_html_text": html_text.op3_html_text,
         "op4_token_counts": token_counts.op4_token_counts,
         "op6_mixing": mixing.op6_mixing,
+        "op7_substring_dedup": substring_dedup.op7_substring_dedup,
+        "op9_simhash": simhash.op9_simhash,
+        "op10_toxicity": toxicity.op10_toxicity,
     }
 
 
