@@ -35,6 +35,8 @@ MOST_LABELLED, MOST_FEATURES, MEMO = 20_000, 6_000, 300_000
 THRESHOLD, SENTENCE_THRESHOLD = 0.3, 0.3
 #: Documents in which a feature must occur to be one.
 SUPPORT = 3
+#: What a feature's presence must tell at least, in nats over the labelled documents.
+LEAST_TOLD = 5.0
 SCORED = "score double, n_sentences bigint, n_offending bigint, worst_start bigint, worst_score double"
 
 
@@ -154,7 +156,8 @@ def train(docs: DataFrame, labels: DataFrame, *, most_labelled: int = MOST_LABEL
     rough = F.abs(F.col("positive") - (F.col("positive") + F.col("negative")) * share) / F.sqrt(F.col("positive") + F.col("negative"))
     best = counts.where("feature != ''").orderBy(rough.desc(), "feature").limit(4 * most_features).toPandas()
     best["told"] = told(best.positive.to_numpy(float), best.negative.to_numpy(float), n_positive, n_negative)
-    names = sorted(best.sort_values(["told", "feature"], ascending=[False, True]).feature[:most_features])
+    best = best[best.told >= LEAST_TOLD].sort_values(["told", "feature"], ascending=[False, True])
+    names = sorted(best.feature[:most_features])
     numbers = docs.sparkSession.sparkContext.broadcast({x: i for i, x in enumerate(names)})
 
     def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
