@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontamination, exact_dedup, html_text, mixing, simhash, substring_dedup, token_counts, toxicity
+from tessera.llm import decontamination, exact_dedup, html_text, license_scan, mixing, sharding, simhash, substring_dedup, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -11,8 +11,10 @@ def queries() -> dict:
         "op2_decontamination": decontamination.op2_decontamination,
         "op3_html_text": html_text.op3_html_text,
         "op4_token_counts": token_counts.op4_token_counts,
+        "op5_sharding": sharding.op5_sharding,
         "op6_mixing": mixing.op6_mixing,
         "op7_substring_dedup": substring_dedup.op7_substring_dedup,
+        "op8_license_scan": license_scan.op8_license_scan,
         "op9_simhash": simhash.op9_simhash,
         "op10_toxicity": toxicity.op10_toxicity,
     }
