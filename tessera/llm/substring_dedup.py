@@ -35,7 +35,7 @@ from tessera.llm.common import stored
 
 WINDOW, ROUNDS, SPAN, LONG = 50, 7, 16, 5
 #: Words that a task rewrites at once.
-CHUNK_WORDS = 400_000
+CHUNK_WORDS = 150_000
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 FAR = 1 << 40
 
@@ -145,13 +145,15 @@ class Windows:
         return held[self.ends] > held[self.firsts]
 
 
-def chunks(rows: list[list[bytes]]) -> Iterator[tuple[int, list[list[bytes]]]]:
-    first, held = 0, 0
-    for at, row in enumerate(rows):
-        held += len(row)
-        if held >= CHUNK_WORDS or at + 1 == len(rows):
-            yield first, rows[first : at + 1]
-            first, held = at + 1, 0
+def chunks(texts: list[str | None]) -> Iterator[tuple[int, list[list[bytes]]]]:
+    """The texts' words, some texts at a time, with the number of the first."""
+    first, rows, held = 0, [], 0
+    for at, text in enumerate(texts):
+        rows.append(split(text))
+        held += len(rows[-1])
+        if held >= CHUNK_WORDS or at + 1 == len(texts):
+            yield first, rows
+            first, rows, held = at + 1, [], 0
 
 
 TEXTS = "doc_id bigint, n_words bigint, sha string, sequence bigint, unruled boolean, symbols array<bigint>"
@@ -168,17 +170,16 @@ def _batch(columns, schema: str) -> pa.RecordBatch:
 def rewrite(docs: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [split(x) for x in batch.column("text").to_pylist()]
-            shas = [hashlib.sha256(b" ".join(x)).digest() for x in rows]
-            symbols, unruled = [], []
-            for _, part in chunks(rows):
+            ids = batch.column("doc_id").to_pylist()
+            for first, part in chunks(batch.column("text").to_pylist()):
+                shas = [hashlib.sha256(b" ".join(x)).digest() for x in part]
                 found = Windows(part, window)
                 used = np.flatnonzero(found.used)
                 cuts = np.searchsorted(found.owner[used], np.arange(1, len(part)))
-                symbols += [np.unique(x) for x in np.split(found.value[used].view(np.int64), cuts)]
-                unruled += found.unruled().tolist()
-            sequences = [int.from_bytes(x[:8], "little", signed=True) for x in shas]
-            yield _batch([batch.column("doc_id").to_pylist(), [len(x) for x in rows], [x.hex() for x in shas], sequences, unruled, symbols], TEXTS)
+                symbols = [np.unique(x) for x in np.split(found.value[used].view(np.int64), cuts)]
+                sequences = [int.from_bytes(x[:8], "little", signed=True) for x in shas]
+                own = ids[first : first + len(part)]
+                yield _batch([own, [len(x) for x in part], [x.hex() for x in shas], sequences, found.unruled().tolist(), symbols], TEXTS)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, TEXTS)
 
@@ -189,13 +190,13 @@ def name_windows(texts: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, shas, ids, shares = (batch.column(c).to_pylist() for c in ("text", "sha", "doc_id", "shared"))
-            every = [split(x) for x in texts]
-            # rows of one doc_id with different texts meet each other's symbols: each takes its own
-            own = [i for i, x in enumerate(every) if hashlib.sha256(b" ".join(x)).hexdigest() == shas[i]]
-            for first, part in chunks([every[i] for i in own]):
-                found, at = Windows(part, window), own[first : first + len(part)]
-                keys = [np.array(shares[i] or [], np.int64).view(np.uint64) + np.uint64(k) * FACTOR for k, i in enumerate(at)]
-                shared = np.isin(found.value + found.owner.astype(np.uint64) * FACTOR, np.concatenate(keys))
+            for first, part in chunks(texts):
+                # rows of one doc_id with different texts meet each other's symbols: each takes its own
+                own = [k for k, x in enumerate(part) if hashlib.sha256(b" ".join(x)).hexdigest() == shas[first + k]]
+                at, part = [first + k for k in own], [part[k] for k in own]
+                found = Windows(part, window)
+                keys = [np.array(shares[i] or [], np.int64).view(np.uint64) + np.uint64(k * int(FACTOR) % 2**64) for k, i in enumerate(at)]
+                shared = np.isin(found.value + found.owner.astype(np.uint64) * FACTOR, np.concatenate([np.zeros(0, np.uint64), *keys]))
                 starts = found.left(shared)
                 out = []
                 cuts = np.searchsorted(starts, np.append(found.firsts, found.n))
