@@ -23,6 +23,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,25 +83,26 @@ class SentenceModel:
         return float(-np.expm1(-softplus(z).sum())), len(found), int((p >= SENTENCE_THRESHOLD).sum()), found[worst][0], float(p[worst])
 
 
-def fit(bags: list[tuple[int, int, list[list[int]]]], names: list[str], rounds: int = 400, ridge: float = 1e-4) -> SentenceModel:
-    """bags: label, sentences without features, features of each other sentence."""
-    labels = np.array([y for y, _, _ in bags], float)
-    if not len(labels) or labels.min() == labels.max():
-        share = float(labels.mean()) if len(labels) else 0.0
-        return SentenceModel(bias=30.0 if share == 1 else -30.0)
-    plain = np.array([n for _, n, _ in bags], float)
-    lengths = [len(x) for _, _, xs in bags for x in xs]
-    columns = np.fromiter((f for _, _, xs in bags for x in xs for f in x), np.int64, sum(lengths))
+def constant(share: float) -> SentenceModel:
+    """The model where there is but one kind of label, or none."""
+    return SentenceModel(bias=30.0 if share == 1 else -30.0)
+
+
+def fit(
+    labels: np.ndarray, plain: np.ndarray, bags: np.ndarray, lengths: np.ndarray, columns: np.ndarray, names: list[str], rounds: int = 400, ridge: float = 1e-4
+) -> SentenceModel:
+    """Of each document the label, its sentences without features, and those with; of each of these the number of
+    features; the features, one after the other."""
     rows = np.repeat(np.arange(len(lengths)), lengths)
-    owner = np.repeat(np.arange(len(bags)), [len(xs) for _, _, xs in bags])
+    owner = np.repeat(np.arange(len(labels)), bags)
     theta = np.zeros(len(names) + 1)
-    theta[-1] = np.log(labels.mean() / max(1.0, (plain + np.bincount(owner, minlength=len(bags))).mean()))
+    theta[-1] = np.log(labels.mean() / max(1.0, (plain + np.bincount(owner, minlength=len(labels))).mean()))
     mean, square = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, rounds + 1):
         w, b = theta[:-1], theta[-1]
         z = b + np.bincount(rows, w[columns], len(lengths))
-        total = np.bincount(owner, softplus(z), len(bags)) + plain * softplus(b)
-        slope = np.where(labels > 0, -1 / np.expm1(np.clip(total, 1e-9, 500)), 1.0) / len(bags)
+        total = np.bincount(owner, softplus(z), len(labels)) + plain * softplus(b)
+        slope = np.where(labels > 0, -1 / np.expm1(np.clip(total, 1e-9, 500)), 1.0) / len(labels)
         at = slope[owner] / (1 + np.exp(-np.clip(z, -500, 500)))
         gradient = np.append(np.bincount(columns, at[rows], len(names)) + ridge * w, at.sum() + (slope * plain).sum() / (1 + np.exp(-b)))
         mean, square = 0.9 * mean + 0.1 * gradient, 0.999 * square + 0.001 * gradient**2
@@ -150,7 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, *, most_labelled: int = MOST_LABEL
     every = counts.where("feature = ''").collect()
     n_positive, n_negative = (every[0]["positive"], every[0]["negative"]) if every else (0, 0)
     if not n_positive or not n_negative:
-        return fit([(int(n_positive > 0), 1, [])] if every else [], [])
+        return constant(float(n_positive > 0))
     share = n_positive / (n_positive + n_negative)
     # a score that orders features as the statistic does, nearly, so that the driver ranks a bounded number
     rough = F.abs(F.col("positive") - (F.col("positive") + F.col("negative")) * share) / F.sqrt(F.col("positive") + F.col("negative"))
@@ -163,17 +165,21 @@ def train(docs: DataFrame, labels: DataFrame, *, most_labelled: int = MOST_LABEL
     def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = numbers.value.get
         for batch in batches:
-            plain, bags = [], []
+            plain, lengths, flat = [], [], []
             for text in batch.column("text").to_pylist():
                 found = [[i for w in set(words) for f in features(w) if (i := get(f)) is not None] for _, words in sentences(text or "")]
-                bags.append([x for x in found if x])
-                plain.append(len(found) - len(bags[-1]))
-            columns = [batch.column("toxic").cast(pa.int64()), pa.array(plain, pa.int64()), pa.array(bags, pa.list_(pa.list_(pa.int32())))]
-            yield pa.RecordBatch.from_arrays(columns, names=["toxic", "plain", "bags"])
-
-    rows = sample.mapInArrow(bag, "toxic bigint, plain bigint, bags array<array<int>>").toArrow()
-    bags = list(zip(*(rows.column(c).to_pylist() for c in ("toxic", "plain", "bags")), strict=True))
-    return fit(bags, names)
+                lengths.append([len(x) for x in found if x])
+                flat.append([i for x in found for i in x])
+                plain.append(len(found) - len(lengths[-1]))
+            columns = [batch.column("toxic").cast(pa.int64()), pa.array(plain, pa.int64()), *(pa.array(x, pa.list_(pa.int32())) for x in (lengths, flat))]
+            yield pa.RecordBatch.from_arrays(columns, names=["toxic", "plain", "lengths", "features"])
+
+    rows = sample.mapInArrow(bag, "toxic bigint, plain bigint, lengths array<int>, features array<int>").toArrow()
+    lengths, flat = (rows.column(c).combine_chunks() for c in ("lengths", "features"))
+    return fit(
+        rows.column("toxic").to_numpy().astype(float), rows.column("plain").to_numpy().astype(float),
+        pa.compute.list_value_length(lengths).to_numpy(), lengths.flatten().to_numpy(), flat.flatten().to_numpy(), names,
+    )
 
 
 def scored(docs: DataFrame, model: SentenceModel) -> DataFrame:
