@@ -114,3 +114,26 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.max(F.when(base, F.col("first_word"))).alias("last_word"), joined(F.when(base, F.col("label"))).alias("base_labels"),
         joined("label").alias("labels"), F.max("coverage").alias("score"),
     ).drop("row")
+
+
+def oracle() -> str:
+    """The scan in SQL: the same templates, their grams joined to all grams of all texts."""
+    rows = ", ".join(f"({i}, '{label}', {str(i < len(PHRASES)).lower()}, '{text}')" for i, (label, text) in enumerate([*PHRASES, *NOTICES]))
+    return f"""
+WITH t AS (SELECT *, string_split(text, ' ') AS w FROM (VALUES {rows}) AS v(template, label, phrase, text)),
+g AS (SELECT template, label, phrase, len(w) - {K - 1} AS grams, i - 1 AS place, array_to_string(w[i : i + {K - 1}], ' ') AS gram FROM (SELECT *, unnest(range(1, len(w) - {K - 2})) AS i FROM t)),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+h AS (SELECT doc_id, i - 1 AS pos, array_to_string(w[i : i + {K - 1}], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - {K - 2})) AS i FROM d)),
+m AS (SELECT doc_id, pos, place, pos - place AS diagonal, template, label, phrase, grams FROM h JOIN g USING (gram)),
+x AS (SELECT doc_id, template, label, phrase, grams, diagonal, min(pos) AS a, list(DISTINCT place) AS matched FROM m GROUP BY ALL),
+y AS (SELECT *, CASE WHEN phrase OR coalesce(diagonal - lag(diagonal) OVER o > {NEIGHBOURS}, true) THEN 1 ELSE 0 END AS apart FROM x WINDOW o AS (PARTITION BY doc_id, template ORDER BY diagonal)),
+z AS (SELECT *, sum(apart) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS span FROM y),
+s AS (SELECT doc_id, template, label, phrase, min(a) AS a, len(list_distinct(flatten(list(matched)))) / grams AS coverage FROM z GROUP BY doc_id, template, label, phrase, grams, span),
+f AS (SELECT *, CASE WHEN phrase THEN coverage = 1 ELSE coverage >= {LEAST} END AS stands FROM s)
+SELECT d.doc_id, len(any_value(d.w))::BIGINT AS n_words, count(*) FILTER (stands AND phrase) AS n_base, (min(a) FILTER (stands AND phrase))::BIGINT AS first_word, (max(a) FILTER (stands AND phrase))::BIGINT AS last_word,
+       coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (stands AND phrase), '') AS base_labels, coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (stands), '') AS labels,
+       coalesce(max(coverage), 0.0) AS score
+FROM d LEFT JOIN f ON f.doc_id = d.doc_id GROUP BY d.doc_id"""
+
+
+ORACLE = oracle()

@@ -21,4 +21,11 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.ORACLE, "op6_mixing": mixing.ORACLE}
+    """What SQL can say; the others are tested against brute force and held-out labels in tests/llm."""
+    return {
+        "op1_exact_dedup": exact_dedup.ORACLE,
+        "op2_decontamination": decontamination.ORACLE,
+        "op6_mixing": mixing.ORACLE,
+        "op7_substring_dedup": substring_dedup.ORACLE,
+        "op8_license_scan": license_scan.ORACLE,
+    }
