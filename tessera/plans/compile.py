@@ -48,39 +48,40 @@ class TypedField:
     def present(self) -> Column:
         return F.lit(True) if self.null_as == "null" else self.column.isNotNull()
 
+    def _sure(self, told: Column) -> Column:
+        """False for NULL and NaN, in a form that scans push down."""
+        told = self.column.isNotNull() & told
+        return told & ~F.isnan(self.column) if self.floating else told
+
     def equals(self, value: object) -> Column:
         if value is None:
             return self.column.isNull() if self.null_as == "null" else F.lit(False)
         if scalar_class(value) != self.cls:
             return F.lit(False)
-        same = F.coalesce(self.column == F.lit(value), F.lit(False))
-        return same & ~F.coalesce(F.isnan(self.column), F.lit(False)) if self.floating else same
+        return self._sure(self.column == F.lit(value))
 
     def among(self, values: tuple) -> Column:
         own = [x for x in values if x is not None and scalar_class(x) == self.cls]
-        found = F.coalesce(self.column.isin(own), F.lit(False)) if own else F.lit(False)
-        if own and self.floating:
-            found = found & ~F.coalesce(F.isnan(self.column), F.lit(False))
+        found = self._sure(self.column.isin(own)) if own else F.lit(False)
         return found | self.column.isNull() if None in values and self.null_as == "null" else found
 
     def compares(self, op: str, value: object) -> Column:
         if scalar_class(value) != self.cls:
             return F.lit(False)
-        if self.cls == "number":
-            found = F.coalesce(_ordered(op, self.column, F.lit(value)), F.lit(False))
-            return found & ~F.coalesce(F.isnan(self.column), F.lit(False)) if self.floating else found
-        if _basic(value):  # a plain comparison reaches the scan
-            return F.coalesce(_ordered(op, self.column, F.lit(value)), F.lit(False))
-        return F.coalesce(_ordered(op, _utf16(self.column), _utf16(F.lit(value))), F.lit(False))
+        if self.cls == "number" or _basic(value):
+            return self._sure(_ordered(op, self.column, F.lit(value)))
+        return self._sure(_ordered(op, _utf16(self.column), _utf16(F.lit(value))))
 
 
 class DocumentField:
     """A key of a VARIANT object; keys are flat, dots and quotes included."""
 
     def __init__(self, document: Column, key: str) -> None:
-        self.document = document
-        self.path = '$["' + key.replace("\\", "\\\\").replace('"', '\\"') + '"]'
-        self.value = F.try_variant_get(document, self.path, "variant")
+        quote = next((q for q in "\"'" if q not in key), None)
+        if quote:
+            self.value = F.try_variant_get(document, f"$[{quote}{key}{quote}]", "variant")
+        else:  # a path can't name it
+            self.value = F.try_element_at(document.cast("map<string,variant>"), F.lit(key))
         self.kind = F.schema_of_variant(self.value)
 
     def present(self) -> Column:
@@ -92,7 +93,7 @@ class DocumentField:
         return F.coalesce(self.kind == {"string": "STRING", "boolean": "BOOLEAN"}[cls], F.lit(False))
 
     def _as(self, cls: str) -> Column:
-        return F.try_variant_get(self.document, self.path, {"number": "double"}.get(cls, cls))
+        return F.try_variant_get(self.value, "$", {"number": "double"}.get(cls, cls))
 
     def equals(self, value: object) -> Column:
         if value is None:
@@ -193,9 +194,10 @@ def matches(df: DataFrame, filter: object, *, fields: Resolver | None = None, nu
         raise ValueError(f"unusable filter: {found.reason}")
     try:
         column = filter(df)
+        known = isinstance(column, Column) and df.select(column).schema[0].dataType == T.BooleanType()
     except Exception:
-        column = None
-    return F.coalesce(column.cast("boolean"), F.lit(False)) if isinstance(column, Column) else opaque(df, filter)
+        known = False
+    return F.coalesce(column, F.lit(False)) if known else opaque(df, filter)
 
 
 def matching(df: DataFrame, filter: object, **settings) -> DataFrame:
