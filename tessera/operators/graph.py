@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.matcher import canonical_json, number_text
+from tessera.sources.scratch import stored
 
 # Fixed value: the key that marks a reference in stored data.
 REF_MARK = "__cdb_ref"
@@ -174,11 +175,16 @@ def resolve_many(rows: DataFrame, key: Sequence[str], refs: str, target: DataFra
 
 
 def reachable(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
-    """(node, reached, steps): what references lead to from ``start`` within ``depth`` steps; cycles end by themselves."""
-    found = start.select(F.col("node"), F.col("node").alias("reached"), F.lit(0).alias("steps"))
+    """(node, reached, steps): what references lead to from ``start`` within ``depth`` steps.
+
+    Each step is a table of its own, and what was reached before is left out, so that cycles end by themselves.
+    """
+    found = stored(start.select("node", F.col("node").alias("reached"), F.lit(0).alias("steps")), "front")
     front = found
     for step in range(1, depth + 1):
-        nexts = front.join(edges, front.reached == edges.a).select("node", F.col("b").alias("reached")).distinct()
-        front = nexts.join(found, ["node", "reached"], "left_anti").withColumn("steps", F.lit(step))
+        nexts = front.select("node", "reached").join(edges, F.col("reached") == F.col("a")).select("node", F.col("b").alias("reached")).distinct()
+        front = stored(nexts.join(found, ["node", "reached"], "left_anti").withColumn("steps", F.lit(step)), "front")
+        if front.isEmpty():
+            break
         found = found.unionByName(front)
     return found

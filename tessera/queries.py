@@ -6,7 +6,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -19,6 +18,7 @@ from tessera.operators import changes, graph, history, hydration, pagination, re
 from tessera.operators.graph import Definition, Relation
 from tessera.plans.compile import documents, matches, matching
 from tessera.sources import durable, entities
+from tessera.sources.scratch import scratch
 from tessera.streaming import live
 from tessera.surface import QuerySurface
 
@@ -354,8 +354,7 @@ def version_tick(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {DELTAS} SELECT seq, id, delta FROM dl")
 def live_view_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The deltas again, by a stream over what the images come to."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tessera-")
-    at = f"{root}/stream-{F.rand()._jc.hashCode() & 0xFFFFFFFF:x}-{spark.sparkContext._jvm.System.nanoTime()}"
+    at = scratch(spark, "stream")
     source = views.after(event_images(spark, sf_dir), FIELDS).select("seq", "entity_type", "id", "op", *FIELDS)
     source.write.parquet(f"{at}/events")
     stream = live.live_view(spark.readStream.schema(source.schema).parquet(f"{at}/events"), VIEW)

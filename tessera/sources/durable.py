@@ -15,6 +15,8 @@ from typing import Protocol
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.scratch import hadoop_path
+
 FORMAT_VERSION = 1
 SCHEMA = "entity_type string, id string, data string, row_version bigint, updated_at bigint"
 KEY = ["entity_type", "id"]
@@ -93,8 +95,7 @@ class ParquetBackend:
         return True
 
     def _fs(self, path: str):
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
+        return hadoop_path(self.spark, path)
 
     def open(self) -> None:
         for attempt in range(self.attempts):
