@@ -1,49 +1,18 @@
-"""Shared helpers of the training-data operators: scratch folders and small column idioms."""
+"""Shared column idioms of the training-data operators, and the scratch folder."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Words as most contracts define them: runs of anything but ASCII white space.
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one is set only where none is configured."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = current.get() if current.isDefined() else None
-    if not root:
-        root = tempfile.mkdtemp(prefix="tessera-")
-        spark.sparkContext.setCheckpointDir(root)
-        root = "file://" + root
-    return root.rstrip("/")
-
+from tessera.sources.scratch import checkpoint_root, hadoop_path, scratch, stored
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{checkpoint_root(spark)}/tessera-{name}-{uuid.uuid4().hex}"
+__all__ = ["WORD", "checkpoint_root", "hadoop_path", "scratch", "stored", "whole"]
 
-
-def stored(df: DataFrame, name: str, path: str | None = None, **options: str) -> DataFrame:
-    """Writes ``df`` below the shared folder and reads it again: it cuts the lineage and survives lost executors."""
-    path = path or scratch(df.sparkSession, name)
-    df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Words as most contracts define them: runs of anything but ASCII white space.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def whole(text: str = "text") -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
-
-
-def hadoop_path(spark: SparkSession, path: str):
-    """(file system, path) through which the driver can list, create and rename in any store Spark knows."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
