@@ -240,6 +240,8 @@ def substring_dedup(docs: DataFrame, *, window: int = WINDOW) -> DataFrame:
     groups = rows.groupBy("sha").agg(F.min("doc_id").alias("first_id"), F.first("sequence").alias("sequence"), F.first("n_words").alias("n_words"), F.first("unruled").alias("unruled"))
     each = rows.where(F.size("symbols") > 0).select("sequence", F.explode("symbols").alias("symbol"))
     shared = each.groupBy("symbol").agg(F.min("sequence").alias("least"), F.max("sequence").alias("most")).where("least != most").select("symbol")
+    # a table of its own, so that a hot symbol's rows can be split over tasks; likewise the names below
+    shared = stored(shared, "shared")
     held = each.join(shared, "symbol", "left_semi").groupBy("sequence").agg(F.collect_set("symbol").alias("shared"))
     asked = groups.where(F.col("n_words") >= window).join(held, "sequence", "left").where("unruled OR shared IS NOT NULL").select(F.col("first_id"), "sha", "shared")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -248,7 +250,7 @@ def substring_dedup(docs: DataFrame, *, window: int = WINDOW) -> DataFrame:
 
     spots = left.select("doc_id", "sha", F.explode(F.arrays_zip("starts", "names")).alias("at")).select("doc_id", "sha", F.col("at.starts").alias("start"), F.col("at.names").alias("name"))
     least = spots.groupBy("name").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("named"))
-    least = least.where("least IS NOT NULL AND (least < most OR named < n)").select("name", "least")
+    least = stored(least.where("least IS NOT NULL AND (least < most OR named < n)").select("name", "least"), "names")
     repeats = spots.join(least, "name").where("doc_id IS NULL OR doc_id > least").groupBy("doc_id", "sha").agg(F.collect_set("start").alias("repeats"))
     pairs = left.select("doc_id", "sha", "text").join(repeats.withColumnsRenamed({"doc_id": "id"}), ["sha"]).where(F.col("doc_id").eqNullSafe(F.col("id")))
     kept = remove(pairs, window).withColumnsRenamed({"doc_id": "kept_id", "sha": "kept_of"}).dropDuplicates(["kept_id", "kept_of"])
