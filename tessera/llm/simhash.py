@@ -203,7 +203,7 @@ def placed(rows: DataFrame) -> DataFrame:
     roots = components(links(points.select("fp"))).select(F.col("node").alias("fp"), "root")
     rooted = points.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return rows.join(named, "fp")
+    return rows.join(stored(named, "named"), "fp")  # a table, so that the rows of a hot fingerprint can be split
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
