@@ -22,14 +22,12 @@ import math
 import uuid
 from dataclasses import asdict, dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import hadoop_path, scratch, stored
+from tessera.llm.common import FILE, ROW, hadoop_path, placed_rows, scratch, stored
 
 TARGET, FANOUT, PIECE = 64 << 20, 4, 100
-FILE, ROW = "tessera_file", "tessera_row"
 
 
 @dataclass(frozen=True)
@@ -47,10 +45,10 @@ class Conflict(Exception):
 
 def arrivals(docs: DataFrame) -> DataFrame:
     """``docs`` with the order of their rows: that of the files they are read from, else that of their partitions."""
-    try:
-        return docs.select("*", F.col("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(ROW))
-    except AnalysisException:
-        return docs.select("*", F.lpad(F.spark_partition_id().cast("string"), 10, "0").alias(FILE), F.monotonically_increasing_id().alias(ROW))
+    found = placed_rows(docs)
+    if found is None:
+        found = docs.select("*", F.lpad(F.spark_partition_id().cast("string"), 10, "0").alias(FILE), F.monotonically_increasing_id().alias(ROW))
+    return found
 
 
 class ShardStore:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored
+from tessera.llm.common import FILE, ROW, placed_rows, stored
 from tessera.llm.components import components
 
 WIDTH, SEED, BITS, RADIUS = 4, 42, 64, 4
@@ -214,12 +214,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def near_dedup(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest doc_id."""
-    row = "tessera_row"
-    rows = stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows", compression="zstd")
-    marked = placed(stored(fingerprints(rows.select("doc_id", row, "text"), "doc_id", row), "fingerprints"))
-    stays = marked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min(row).alias("stays"))
-    gone = marked.join(stays, marked.component_id.eqNullSafe(stays.component_id)).where(F.col(row) != F.col("stays")).select(row)
-    return rows.join(gone, row, "left_anti").drop(row)
+    rows = placed_rows(docs)
+    if rows is None:  # a table of its own gives rows a place that doesn't change
+        rows = placed_rows(stored(docs, "rows", compression="zstd"))
+    marked = placed(stored(fingerprints(rows.select("doc_id", FILE, ROW, "text"), "doc_id", FILE, ROW), "fingerprints"))
+    first = F.min(F.struct(FILE, ROW)).alias("stays")
+    stays = marked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("component_id").alias("component")).agg(first)
+    gone = marked.join(stays, F.col("component_id").eqNullSafe(F.col("component"))).where(F.struct(FILE, ROW) != F.col("stays"))
+    return rows.join(gone.select(FILE, ROW), [FILE, ROW], "left_anti").drop(FILE, ROW)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
