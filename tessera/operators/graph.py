@@ -150,6 +150,31 @@ def normalize_documents(payloads: DataFrame, registry: Mapping[str, Definition],
     return payloads.select(order, text).mapInPandas(run, f"{order} bigint, place int, entity_type string, id string, data string")
 
 
+def write_order(found: DataFrame, registry: Mapping[str, Definition], *, order: str = "seq") -> DataFrame:
+    """Extracted documents as writes in the order they apply: first those that merge plainly, then those of types with a
+    merge of their own, each in the order of payload and place. Adds op, origin and struct ``seq``."""
+    custom = [name for name, d in registry.items() if d.merge is not None]
+    own = F.col("entity_type").isin(custom) if custom else F.lit(False)
+    return found.select(
+        F.struct(own.cast("int").alias("wave"), F.col(order).alias("payload"), "place").alias("seq"), F.when(own, "merge").otherwise("set").alias("op"),
+        "entity_type", "id", "data", F.lit("query-response").alias("origin"),
+    )
+
+
+def merged(existing: DataFrame, incoming: DataFrame, key: Sequence[str], merge: Callable[[Column, Column], Mapping[str, Column]]) -> DataFrame:
+    """Entities of a type with a merge of its own: ``merge`` gets both structs (NULL where there is none) and gives the
+    fields; an incoming entity without an existing one stays as it is."""
+    fields = [c for c in incoming.columns if c not in key]
+    a = existing.select(*key, F.struct(*[c for c in existing.columns if c not in key]).alias("existing_entity"))
+    b = incoming.select(*key, F.struct(*fields).alias("incoming_entity"))
+    told = merge(F.col("existing_entity"), F.col("incoming_entity"))
+    both = a.join(b, list(key), "full")
+    pick = lambda f: (
+        F.when(F.col("existing_entity").isNull(), F.col("incoming_entity")[f]).when(F.col("incoming_entity").isNull(), F.col("existing_entity")[f]).otherwise(told[f])
+    )
+    return both.select(*key, *(pick(f).alias(f) for f in fields))
+
+
 def is_ref(document: Column) -> Column:
     """Whether a VARIANT is a whole reference: the mark and three texts. Anything else is plain data."""
     texts = [F.schema_of_variant(F.try_variant_get(document, f"$.{k}", "variant")) == "STRING" for k in ("entityType", "id", "key")]

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import uuid
+import warnings
 from collections.abc import Callable, Sequence
 from typing import Protocol
 
@@ -88,7 +89,7 @@ class ParquetBackend:
     persistent = True
 
     def __init__(self, spark: SparkSession, path: str, *, buckets: int = 16, attempts: int = 2) -> None:
-        self.spark, self.path, self.buckets, self.attempts = spark, path.rstrip("/"), buckets, attempts
+        self.spark, self.path, self.buckets, self.attempts, self.warned = spark, path.rstrip("/"), buckets, attempts, False
 
     @staticmethod
     def is_supported() -> bool:
@@ -102,6 +103,9 @@ class ParquetBackend:
             try:
                 fs, folder = self._fs(f"{self.path}/versions")
                 fs.mkdirs(folder)
+                if self.format_version() > FORMAT_VERSION and not self.warned:
+                    self.warned = True
+                    warnings.warn(f"the store has format {self.format_version()}, newer than {FORMAT_VERSION}", stacklevel=2)
                 return
             except Exception:
                 if attempt + 1 == self.attempts:
