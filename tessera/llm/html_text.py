@@ -47,10 +47,13 @@ MARKS = frozenset(
     " copyright masthead form search".split()
 )
 PAGE_MARKS = frozenset("header topbar".split())
+MARK_BEGINNINGS = tuple("comment sidebar advert cookie newsletter breadcrumb navbar navigation sponsor footer".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 CLOSES = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "option": frozenset(["option"])}
 WINDOW, SURGE = 3, 80
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+#: Names that say what a part has or lacks, not what it is.
+LAYOUT = re.compile(r"\b(?:has|with|without|no|is)-\S+|\S+-(?:free|open|closed|enabled|disabled)\b", re.I)
 
 
 def attributes(text: str) -> dict[str, str]:
@@ -63,10 +66,13 @@ def unwanted(name: str, attrs: dict[str, str], in_article: bool, by_class: bool)
         return True
     if attrs.get("role", "").lower() in ROLES or "display:none" in attrs.get("style", "").replace(" ", "").lower():
         return True
-    if not by_class or name in ("html", "body", "main") or not ("class" in attrs or "id" in attrs):
+    if not by_class or name in ("html", "body", "main") or name == "article" and not in_article or not ("class" in attrs or "id" in attrs):
         return False
-    marks = {x.lower() for x in NAME.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}")}
-    return not marks.isdisjoint(MARKS) or not in_article and not marks.isdisjoint(PAGE_MARKS)
+    names = LAYOUT.sub(" ", f"{attrs.get('class', '')} {attrs.get('id', '')}")
+    marks = {x.lower() for x in NAME.findall(names)}
+    if not marks.isdisjoint(MARKS) or any(x.startswith(MARK_BEGINNINGS) for x in marks):
+        return True
+    return not in_article and not marks.isdisjoint(PAGE_MARKS)
 
 
 def lines(page: str, by_class: bool = True) -> list[tuple[str, int, bool]]:

@@ -19,6 +19,8 @@ PLAIN = LONG.replace("&amp;", "&")
         ('<article><p title="a>b">t</p><a href="x">link only</a></article>', "t\nlink only"),
         ("<article><table><tr><td>1</td><td>2</td></tr><tr><th>3</th></tr></table><ul><li>x<li>y</ul></article>", "1 2\n3\nx\ny"),
         ("<body><div class='cookie-notice'>We use cookies</div><main><p>m</p></main></body>", "m"),
+        ("<body class=no-sidebar><article class='post comments-open'><p>a</p><ol class=commentlist><li>no</ol></article></body>", "a"),
+        (f"<div class='has-sidebar ad-free'><p>{LONG}</p></div><div class=siteFooter>no</div>", PLAIN), ("<article><p>a</p><article class=comment><p>no</p></article></article>", "a"),
         ("<article><header><h1>T</h1></header><p>b</p></article>", "T\nb"), ("<article><p>open <b>bold<p>next", "open bold\nnext"),
     ],
 )
