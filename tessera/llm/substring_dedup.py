@@ -238,6 +238,7 @@ def substring_dedup(docs: DataFrame, *, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row."""
     rows = stored(rewrite(docs, window), "texts")
     groups = rows.groupBy("sha").agg(F.min("doc_id").alias("first_id"), F.first("sequence").alias("sequence"), F.first("n_words").alias("n_words"), F.first("unruled").alias("unruled"))
+    groups = stored(groups, "groups")
     each = rows.where(F.size("symbols") > 0).select("sequence", F.explode("symbols").alias("symbol"))
     shared = each.groupBy("symbol").agg(F.min("sequence").alias("least"), F.max("sequence").alias("most")).where("least != most").select("symbol")
     # a table of its own, so that a hot symbol's rows can be split over tasks; likewise the names below
