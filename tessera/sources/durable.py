@@ -1,7 +1,7 @@
 """The durable table of entities: Parquet snapshots behind a version pointer, with the engine contract.
 
 A write makes a new snapshot (old rows without the written and deleted keys, and the puts) in a folder of its own, and
-then creates the pointer file of the next version, which only one writer can. Readers see whole versions. Snapshots are
+then commits the pointer file of the next version, which only one writer can. Readers see whole versions. Snapshots are
 split in buckets by key, and a write rewrites only the buckets that it touches.
 """
 
@@ -16,7 +16,7 @@ from typing import Protocol
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.sources.scratch import hadoop_path
+from tessera.sources.scratch import commit_file, hadoop_path
 
 FORMAT_VERSION = 1
 SCHEMA = "entity_type string, id string, data string, row_version bigint, updated_at bigint"
@@ -156,10 +156,8 @@ class ParquetBackend:
         fs, folder = self._fs(at)
         made = {x.getPath().getName().partition("=")[2] for x in fs.listStatus(folder) if x.getPath().getName().startswith("bucket=")}
         new = {k: v for k, v in parts.items() if int(k) not in touched} | {b: f"{at}/bucket={b}" for b in made}
-        fs, pointer = self._fs(f"{self.path}/versions/{version + 1:012d}.json")
-        out = fs.create(pointer, False)  # fails if another writer made the version
-        out.write(bytearray(json.dumps({"format": FORMAT_VERSION, "buckets": new}), "utf-8"))
-        out.close()
+        pointer = f"{self.path}/versions/{version + 1:012d}.json"
+        commit_file(self.spark, pointer, json.dumps({"format": FORMAT_VERSION, "buckets": new}))
 
     def close(self) -> None:
         pass

@@ -37,3 +37,28 @@ def hadoop_path(spark: SparkSession, path: str):
     """(file system, path) through which the driver can list, create and rename in any store Spark knows."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def commit_file(spark: SparkSession, path: str, text: str) -> None:
+    """Makes a file with all its content appear at once, once: FileExistsError if there is one.
+
+    The content is written aside and renamed without overwriting, which a file system with atomic renames lets only
+    one writer do.
+    """
+    jvm = spark.sparkContext._jvm
+    fs, final = hadoop_path(spark, path)
+    aside = jvm.org.apache.hadoop.fs.Path(final.getParent(), f".pending-{uuid.uuid4().hex}")
+    out = fs.create(aside, False)
+    out.write(bytearray(text, "utf-8"))
+    out.close()
+    kind = jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(kind, 1)
+    options[0] = kind.NONE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(final).toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        context.rename(fs.makeQualified(aside), fs.makeQualified(final), options)
+    except Exception as error:
+        fs.delete(aside, False)
+        if "FileAlreadyExists" in str(getattr(error, "java_exception", error)):
+            raise FileExistsError(path) from error
+        raise

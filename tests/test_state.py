@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import hydration, retention, transactions
 from tessera.sources import durable, entities
+from tessera.sources.scratch import commit_file
 
 KEYED = "entity_type string, id string"
 
@@ -118,6 +119,14 @@ def test_snapshots_outlive_a_writer(spark, tmp_path):
     assert again.version() == 1 and again.format_version() == 1 and again.load_all().first().data == "x" and again.persistent
 
 
+def test_a_version_is_committed_once(spark, tmp_path):
+    path = f"file://{tmp_path}/v/1.json"
+    commit_file(spark, path, "one")
+    with pytest.raises(FileExistsError):
+        commit_file(spark, path, "two")
+    assert sorted(p.name for p in (tmp_path / "v").iterdir() if not p.name.endswith(".crc")) == ["1.json"] and (tmp_path / "v/1.json").read_text() == "one"
+
+
 def test_write_behind(spark):
     backend = durable.MemoryBackend(spark)
     backend.open()
