@@ -3,7 +3,7 @@
 A store is a folder of immutable runs and of numbered manifests. Arrivals are appended as runs of small shards, one
 file for each task that writes, without a shuffle. Compaction takes the runs of a size tier that has gathered
 ``fanout`` of them and writes their rows as one run of target-sized shards, one file each, in the order of arrival.
-A manifest lists the runs of a version. It becomes valid by the creation of its file, which only one writer can do;
+A manifest lists the runs of a version. Its file is written aside and renamed into place, which only one writer can do;
 a reader of an older version keeps its runs until ``vacuum``, and what a failed writer leaves is in no manifest.
 
 Rows are dealt to shards by the running total of bytes in the order of arrival: totals are taken for pieces of 100
@@ -25,7 +25,7 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import FILE, ROW, hadoop_path, placed_rows, scratch, stored
+from tessera.llm.common import FILE, ROW, commit_file, hadoop_path, placed_rows, scratch, stored
 
 TARGET, FANOUT, PIECE = 64 << 20, 4, 100
 
@@ -74,15 +74,11 @@ class ShardStore:
 
     def commit(self, runs: list[Run], version: int) -> int:
         """Makes ``runs`` the given version, if nobody else has made it."""
-        fs, path = hadoop_path(self.spark, self._manifest(version))
+        text = json.dumps({"version": version, "runs": [asdict(x) for x in runs]})
         try:
-            out = fs.create(path, False)
-        except Exception as error:
-            if "FileAlreadyExists" in str(error):
-                raise Conflict(f"version {version} exists") from error
-            raise
-        out.write(bytearray(json.dumps({"version": version, "runs": [asdict(x) for x in runs]}), "utf-8"))
-        out.close()
+            commit_file(self.spark, self._manifest(version), text)
+        except FileExistsError as error:
+            raise Conflict(f"version {version} exists") from error
         return version
 
     def _tier(self, n_bytes: int) -> int:
