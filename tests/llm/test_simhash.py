@@ -97,6 +97,12 @@ def test_one_of_each_group_stays(docs, rows):
     assert near_dedup(docs()).count() == 0 and near_duplicates(docs()).count() == 0
 
 
+def test_unlike_texts_without_or_with_one_doc_id_all_stay(docs, rows):
+    texts = [" ".join(f"{t}{i}" for i in range(60)) for t in "abcde"]
+    df = docs(*((None, t) for t in texts[:3]), (None, texts[0]), (5, texts[3]), (5, texts[4]), (5, texts[4]))
+    assert rows(near_dedup(df), "doc_id", "text") == sorted([(None, t) for t in texts[:3]] + [(5, t) for t in texts[3:]], key=repr)
+
+
 def test_components_of_a_chain_and_a_star(spark):
     chain = [(i, i + 1) for i in range(200)] + [(1_000, i) for i in range(1_001, 1_400)] + [(2_000, 2_000)]
     random.Random(1).shuffle(chain)
