@@ -27,11 +27,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import FILE, ROW, placed_rows, stored
 from tessera.llm.components import components
+from tessera.llm.near_copies import without_near_copies
 
 WIDTH, SEED, BITS, RADIUS = 4, 42, 64, 4
 BLOCKS = ((0, 22), (22, 21), (43, 21))
@@ -197,9 +198,9 @@ def links(points: DataFrame, radius: int = RADIUS) -> DataFrame:
     return points.mapInArrow(send, "cell bigint, fp bigint, home boolean").groupBy("cell").applyInPandas(compare, "a bigint, b bigint")
 
 
-def placed(rows: DataFrame, name: Column | None = None) -> DataFrame:
-    """rows (doc_id, fp, ...) -> with component_id, the least ``name`` (doc_id unless given) in the component."""
-    points = stored(rows.groupBy("fp").agg(F.min(F.col("doc_id") if name is None else name).alias("least")), "points")
+def placed(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, fp, ...) -> with component_id."""
+    points = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "points")
     roots = components(links(points.select("fp"))).select(F.col("node").alias("fp"), "root")
     rooted = points.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
@@ -213,14 +214,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest doc_id (null last), the first of those in the input."""
+    """``docs`` with one row of each component of near copies: that of the smallest doc_id (null last), the first in the input.
+
+    Near copies are texts at a Jaccard similarity of 0.8 or more (``near_copies``), not those of near fingerprints.
+    """
     rows = placed_rows(docs)
     if rows is None:  # a table of its own gives rows a place that doesn't change
         rows = placed_rows(stored(docs, "rows", compression="zstd"))
-    marked = stored(fingerprints(rows.select("doc_id", FILE, ROW, "text"), "doc_id", FILE, ROW), "fingerprints")
-    own = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", FILE, ROW)  # names one row, whatever doc_ids repeat
-    gone = placed(marked, own).where(own != F.col("component_id"))
-    return rows.join(gone.select(FILE, ROW), [FILE, ROW], "left_anti").drop(FILE, ROW)
+    gone = without_near_copies(rows.select("doc_id", FILE, ROW, "text"))
+    return rows.join(gone, [FILE, ROW], "left_anti").drop(FILE, ROW)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tessera.llm import simhash
+from tessera.llm import near_copies, simhash
 from tessera.llm.components import components
 from tessera.llm.simhash import fingerprint, near_dedup, near_duplicates
 
@@ -103,6 +103,32 @@ def test_unlike_texts_without_or_with_one_doc_id_all_stay(docs, rows):
     assert rows(near_dedup(df), "doc_id", "text") == sorted([(None, t) for t in texts[:3]] + [(5, t) for t in texts[3:]], key=repr)
 
 
+@pytest.mark.parametrize("hot", [50, 1])
+def test_near_dedup_against_all_pairs_at_the_threshold(docs, rows, monkeypatch, hot):
+    monkeypatch.setattr(near_copies, "HOT", hot)
+    monkeypatch.setattr(near_copies, "SALT", 3)
+    chosen = random.Random(9)
+    texts = []
+    for _ in range(12):
+        base = [f"w{chosen.randrange(5_000)}" for _ in range(chosen.choice([30, 90, 200]))]
+        for k in range(7):
+            copy = list(base)
+            for _ in range(k // 2):
+                copy[chosen.randrange(len(copy))] = f"x{chosen.randrange(100)}"
+            texts.append(" ".join(copy))
+    chosen.shuffle(texts)
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    root = list(range(len(texts)))
+    for j in range(len(texts)):
+        for i in range(j):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                x, y = sorted((root[i], root[j]))
+                root = [x if r == y else r for r in root]
+    kept = sorted(set(root))
+    assert 20 < len(kept) < len(texts) - 20
+    assert rows(near_dedup(docs(*enumerate(texts))), "doc_id") == sorted(((i,) for i in kept), key=repr)
+
+
 def test_components_of_a_chain_and_a_star(spark):
     chain = [(i, i + 1) for i in range(200)] + [(1_000, i) for i in range(1_001, 1_400)] + [(2_000, 2_000)]
     random.Random(1).shuffle(chain)
