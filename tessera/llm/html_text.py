@@ -134,11 +134,13 @@ def lines(page: str, by_class: bool = True) -> list[tuple[str, int, bool]]:
                         while len(stack) > last:
                             pop()
             continue
+        attrs = m["attrs"] or m["attrs2"] or ""
+        if name in ("svg", "math") and attrs.endswith("/"):  # the only raw elements that a tag may close itself
+            continue
         if name in RAW:
             close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
             at = close.end() if close else end
             continue
-        attrs = m["attrs"] or m["attrs2"] or ""
         if name in VOID or attrs.endswith("/") and name not in BLOCK:
             continue
         if name == "body":  # a head that is not closed ends here

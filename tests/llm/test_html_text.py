@@ -38,3 +38,9 @@ def test_table(spark):
     df = spark.createDataFrame([(1, "u", "<article><p>é😀</p></article>", "x", "y"), (1, None, None, None, None), (None, "u", "", None, None)], schema)
     assert sorted(map(tuple, html_text(df).collect()), key=repr) == sorted([(1, "u", "é😀", 2), (1, None, "", 0), (None, "u", "", 0)], key=repr)
     assert html_text(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["svg", "math"])
+def test_self_closing_svg_and_math_end_at_once(name):
+    assert main_text(f"<article><p>a</p><{name} class='x'/><p>b</p><{name}><text>no</text></{name}><p>c</p></article>") == "a\nb\nc"
+    assert main_text(f"<article><p>a</p><{name} /><p>b</p></article>") == "a\nb"
