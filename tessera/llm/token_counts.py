@@ -3,7 +3,8 @@
 The cache is a table (digest, version, n_tokens): the digest is SHA-256 of the content, the version that of the
 tokenizer's file and library. Contents are joined to stored counts by both digests; of those missing, one document a
 digest is encoded, and the counts are appended to the cache. The file's own normaliser is part of the version, so
-the content is digested as it is: two texts share a count only if they are the same text.
+the content is digested as it is: two texts share a count only if they are the same text. Writers don't wait for each
+other: what two of them append for one digest, or one that is run again, counts once.
 
 Encoding takes a short cut that keeps the library's results: this kind of tokenizer splits a text into pieces and
 encodes each alone, so the library is asked once for each distinct piece and a bounded memo keeps its answer. Texts
@@ -19,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Callable, Iterator
+from importlib import metadata
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -92,10 +94,16 @@ def counter(path: str) -> Callable[[str], int]:
     return lambda text: library(text) if odd(text) else sum(map(of_word, text.lower().split()))
 
 
+def library_version(path: str) -> str:
+    """Name and version of the library that reads the file."""
+    name = "sentencepiece" if path.endswith(".model") else "tokenizers"
+    return f"{name} {metadata.version(name)}"
+
+
 def version(path: str) -> str:
-    """Digest of the tokenizer: its file and the rules of counting."""
+    """Digest of the tokenizer: its file, the library's version and the rules of counting."""
     with open(path, "rb") as file:
-        return hashlib.sha256(b"1\n" + file.read()).hexdigest()
+        return hashlib.sha256(f"1\n{library_version(path)}\n".encode() + file.read()).hexdigest()
 
 
 def encode(missing: DataFrame, vocabulary: str) -> DataFrame:
@@ -110,6 +118,12 @@ def encode(missing: DataFrame, vocabulary: str) -> DataFrame:
     return missing.mapInArrow(run, "digest string, n_tokens bigint")
 
 
+def known_counts(spark: SparkSession, cache: str, own: str) -> DataFrame:
+    """digest and n_tokens of the cache for a version, a row for each digest however often it was appended."""
+    rows = spark.read.schema(CACHE).parquet(cache).where(F.col("version") == own)
+    return rows.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+
+
 def token_counts(docs: DataFrame, cache: str, *, vocabulary: str = VOCABULARY, limit: int = 2048) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit; ``cache`` is the path of the cache table and may not exist yet."""
     spark = docs.sparkSession
@@ -121,7 +135,7 @@ def token_counts(docs: DataFrame, cache: str, *, vocabulary: str = VOCABULARY, l
     fs, path = hadoop_path(spark, cache)
     if not fs.exists(path):
         spark.createDataFrame([], CACHE).write.parquet(cache)
-    known = spark.read.schema(CACHE).parquet(cache).where(F.col("version") == own)
+    known = known_counts(spark, cache, own)
     # one document a digest is encoded: its identifier is dealt evenly, however large a group of copies is
     chosen = keyed.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).join(known, "digest", "left_anti")
     named = chosen.where("doc_id IS NOT NULL")
@@ -131,9 +145,11 @@ def token_counts(docs: DataFrame, cache: str, *, vocabulary: str = VOCABULARY, l
         texts = texts.unionByName(nameless.join(chosen.where("doc_id IS NULL"), "digest", "left_semi").select("digest", "body"))
     counted = encode(texts, vocabulary).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     counted.select("digest", F.lit(own).alias("version"), "n_tokens").write.mode("append").parquet(cache)
-    counts = spark.read.schema(CACHE).parquet(cache).where(F.col("version") == own).select("digest", "n_tokens")
+    counts = known_counts(spark, cache, own)
     return keyed.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), scratch(spark, "token-cache"))
+    """Over the cache that the session's spark.tessera.tokenCache names, else over a new one."""
+    cache = spark.conf.get("spark.tessera.tokenCache", None) or scratch(spark, "token-cache")
+    return token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), cache)

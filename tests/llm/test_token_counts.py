@@ -43,3 +43,19 @@ def test_table_and_cache(docs, rows, spark, tmp_path):
 
 def test_empty_table(docs, tmp_path):
     assert tc.token_counts(docs(), f"file://{tmp_path}/cache").count() == 0
+
+
+def test_a_digest_that_is_cached_twice_counts_once(docs, rows, spark, tmp_path):
+    cache = f"file://{tmp_path}/cache"
+    given = docs(*((i, f"text {i}") for i in range(10)))
+    expected = rows(tc.token_counts(given, cache), *COLUMNS)
+    spark.read.parquet(cache).write.mode("append").parquet(f"{cache}2")
+    spark.read.parquet(cache).write.mode("append").parquet(f"{cache}2")
+    assert rows(tc.token_counts(given, f"{cache}2"), *COLUMNS) == expected and len(expected) == 10
+
+
+def test_another_library_is_another_version(monkeypatch):
+    path = tc.tokenizer_path(tc.VOCABULARY)
+    before = tc.version(path)
+    monkeypatch.setattr(tc.metadata, "version", lambda name: "99")
+    assert tc.version(path) != before and tc.library_version("x.model") == "sentencepiece 99"
