@@ -15,6 +15,8 @@ Long symbols (five words or more) are used; shorter ones only inside windows tha
 hold no symbol at all are never ruled out. Equal word sequences are one sequence: copies of it with a larger doc_id
 lose every word, if they are as long as a window, and don't count as repeats of its symbols.
 
+Rows are told apart by their place in the input, whatever doc_ids repeat or lack.
+
 Defined cases: null text has no words; texts shorter than a window keep all words; rows that share a doc_id don't
 remove each other's words; a null doc_id counts as the largest; empty tables give empty results; further columns are
 ignored.
@@ -31,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored
+from tessera.llm.common import FILE, ROW, placed_rows, stored
 
 WINDOW, ROUNDS, SPAN, LONG = 50, 7, 16, 5
 #: Words that a task rewrites at once.
@@ -108,9 +110,10 @@ class Windows:
     def __init__(self, texts: list[list[bytes]], window: int = WINDOW) -> None:
         self.window = window
         digest = xxhash.xxh64_intdigest
-        self.ends = np.cumsum([len(x) for x in texts])
+        lengths = np.array([len(x) for x in texts], np.int64)
+        self.ends = np.cumsum(lengths)
         n = int(self.ends[-1]) if len(texts) else 0
-        self.firsts = self.ends - np.array([len(x) for x in texts], np.int64)
+        self.firsts = self.ends - lengths
         words = np.fromiter((digest(w) for x in texts for w in x), np.uint64, n)
         self.n, owner = n, np.repeat(np.arange(len(texts)), np.diff(self.ends, prepend=0))
         self.whole = np.arange(n) + window <= (self.ends[owner] if n else 0)
@@ -156,21 +159,28 @@ def chunks(texts: list[str | None]) -> Iterator[tuple[int, list[list[bytes]]]]:
             first, rows, held = at + 1, [], 0
 
 
-TEXTS = "doc_id bigint, n_words bigint, sha string, sequence bigint, unruled boolean, symbols array<bigint>"
+TEXTS = "doc_id bigint, file bigint, row bigint, n_words bigint, sha string, sequence bigint, unruled boolean, symbols array<bigint>"
 LEFT = "doc_id bigint, sha string, text string, starts array<int>, names array<binary>"
-KEPT = "doc_id bigint, sha string, n_removed bigint, kept_sha256 string"
+KEPT = "sha string, n_removed bigint, kept_sha256 string"
 
 
 def _batch(columns, schema: str) -> pa.RecordBatch:
     kinds = {"bigint": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "array<bigint>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<binary>": pa.list_(pa.binary())}
     names, types = zip(*(x.split(" ") for x in schema.split(", ")), strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, k in zip(columns, types, strict=True)], names=list(names))
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, kinds[k]) for c, k in zip(columns, types, strict=True)], names=list(names))
+
+
+def placed(docs: DataFrame) -> DataFrame:
+    """doc_id, file and row (where it lies, as numbers), text."""
+    rows = placed_rows(docs)
+    if rows is None:  # a table of its own gives rows a place that doesn't change
+        rows = placed_rows(stored(docs.select("doc_id", "text"), "rows", compression="zstd"))
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(FILE).alias("file"), F.col(ROW).alias("row"), F.col("text").cast("string").alias("text"))
 
 
-def rewrite(docs: DataFrame, window: int) -> DataFrame:
+def rewrite(texts: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
             for first, part in chunks(batch.column("text").to_pylist()):
                 shas = [hashlib.sha256(b" ".join(x)).digest() for x in part]
                 found = Windows(part, window)
@@ -178,10 +188,10 @@ def rewrite(docs: DataFrame, window: int) -> DataFrame:
                 cuts = np.searchsorted(found.owner[used], np.arange(1, len(part)))
                 symbols = [np.unique(x) for x in np.split(found.value[used].view(np.int64), cuts)]
                 sequences = [int.from_bytes(x[:8], "little", signed=True) for x in shas]
-                own = ids[first : first + len(part)]
-                yield _batch([own, [len(x) for x in part], [x.hex() for x in shas], sequences, found.unruled().tolist(), symbols], TEXTS)
+                own = [batch.column(c).slice(first, len(part)) for c in ("doc_id", "file", "row")]
+                yield _batch([*own, [len(x) for x in part], [x.hex() for x in shas], sequences, found.unruled().tolist(), symbols], TEXTS)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, TEXTS)
+    return texts.select("doc_id", "file", "row", "text").mapInArrow(run, TEXTS)
 
 
 def name_windows(texts: DataFrame, window: int) -> DataFrame:
@@ -191,7 +201,7 @@ def name_windows(texts: DataFrame, window: int) -> DataFrame:
         for batch in batches:
             texts, shas, ids, shares = (batch.column(c).to_pylist() for c in ("text", "sha", "doc_id", "shared"))
             for first, part in chunks(texts):
-                # rows of one doc_id with different texts meet each other's symbols: each takes its own
+                # a place is a digest of the file's name: another row that met these symbols by it is left out
                 own = [k for k, x in enumerate(part) if hashlib.sha256(b" ".join(x)).hexdigest() == shas[first + k]]
                 at, part = [first + k for k in own], [part[k] for k in own]
                 found = Windows(part, window)
@@ -215,53 +225,53 @@ def name_windows(texts: DataFrame, window: int) -> DataFrame:
 
 
 def remove(texts: DataFrame, window: int) -> DataFrame:
-    """texts (doc_id, sha, text, repeats: starts of repeated windows) -> what is kept."""
+    """texts (sha, text, repeats: starts of repeated windows) -> what is kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc_id, sha, text, starts in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "sha", "text", "repeats")), strict=True):
+            for sha, text, starts in zip(*(batch.column(c).to_pylist() for c in ("sha", "text", "repeats")), strict=True):
                 words = split(text)
                 steps = np.zeros(len(words) + 1, np.int64)
                 np.add.at(steps, starts, 1)
                 np.add.at(steps, np.array(starts) + window, -1)
                 gone = np.cumsum(steps)[:-1] > 0
                 kept = b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g)
-                out.append((doc_id, sha, int(gone.sum()), hashlib.sha256(kept).hexdigest()))
+                out.append((sha, int(gone.sum()), hashlib.sha256(kept).hexdigest()))
             if out:
                 yield _batch(zip(*out, strict=True), KEPT)
 
-    return texts.select("doc_id", "sha", "text", "repeats").mapInArrow(run, KEPT)
+    return texts.select("sha", "text", "repeats").mapInArrow(run, KEPT)
 
 
 def substring_dedup(docs: DataFrame, *, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row."""
-    rows = stored(rewrite(docs, window), "texts")
-    groups = rows.groupBy("sha").agg(F.min("doc_id").alias("first_id"), F.first("sequence").alias("sequence"), F.first("n_words").alias("n_words"), F.first("unruled").alias("unruled"))
-    groups = stored(groups, "groups")
+    texts = placed(docs)
+    rows = stored(rewrite(texts, window), "texts")
+    # of each sequence the row that stands for it: that of the smallest doc_id, null last
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "file", "row")).alias("first")
+    groups = rows.groupBy("sha").agg(first, F.first("sequence").alias("sequence"), F.first("n_words").alias("n_words"), F.first("unruled").alias("unruled"))
+    groups = stored(groups.select("sha", "sequence", "n_words", "unruled", F.col("first.doc_id").alias("first_id"), "first.file", "first.row"), "groups")
     each = rows.where(F.size("symbols") > 0).select("sequence", F.explode("symbols").alias("symbol"))
     shared = each.groupBy("symbol").agg(F.min("sequence").alias("least"), F.max("sequence").alias("most")).where("least != most").select("symbol")
     # a table of its own, so that a hot symbol's rows can be split over tasks; likewise the names below
     shared = stored(shared, "shared")
     held = each.join(shared, "symbol", "left_semi").groupBy("sequence").agg(F.collect_set("symbol").alias("shared"))
-    asked = groups.where(F.col("n_words") >= window).join(held, "sequence", "left").where("unruled OR shared IS NOT NULL").select(F.col("first_id"), "sha", "shared")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    met = texts.join(asked, F.coalesce("doc_id", F.lit(-1)) == F.coalesce("first_id", F.lit(-1)))
-    left = stored(name_windows(met, window), "windows", compression="zstd")
+    asked = groups.where(F.col("n_words") >= window).join(held, "sequence", "left").where("unruled OR shared IS NOT NULL").select("file", "row", "sha", "shared")
+    left = stored(name_windows(texts.join(asked, ["file", "row"]), window), "windows", compression="zstd")
 
     spots = left.select("doc_id", "sha", F.explode(F.arrays_zip("starts", "names")).alias("at")).select("doc_id", "sha", F.col("at.starts").alias("start"), F.col("at.names").alias("name"))
     least = spots.groupBy("name").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("named"))
     least = stored(least.where("least IS NOT NULL AND (least < most OR named < n)").select("name", "least"), "names")
-    repeats = spots.join(least, "name").where("doc_id IS NULL OR doc_id > least").groupBy("doc_id", "sha").agg(F.collect_set("start").alias("repeats"))
-    pairs = left.select("doc_id", "sha", "text").join(repeats.withColumnsRenamed({"doc_id": "id"}), ["sha"]).where(F.col("doc_id").eqNullSafe(F.col("id")))
-    kept = remove(pairs, window).withColumnsRenamed({"doc_id": "kept_id", "sha": "kept_of"}).dropDuplicates(["kept_id", "kept_of"])
+    repeats = spots.join(least, "name").where("doc_id IS NULL OR doc_id > least").groupBy("sha").agg(F.collect_set("start").alias("repeats"))
+    kept = remove(left.select("sha", "text").join(repeats, "sha"), window).withColumnRenamed("sha", "kept_of").dropDuplicates(["kept_of"])
 
     empty = hashlib.sha256(b"").hexdigest()
     copy = (F.col("n_words") >= window) & F.col("first_id").isNotNull() & (F.col("doc_id").isNull() | (F.col("doc_id") > F.col("first_id")))
-    narrow = rows.select("doc_id", "n_words", "sha").join(groups.select("sha", "first_id"), "sha")
-    # copies of a sequence don't need its removals, so the join's key is not hot
-    done = narrow.withColumn("copy", F.coalesce(copy, F.lit(False)))
-    joined = done.join(kept, (F.col("sha") == F.col("kept_of")) & F.col("doc_id").eqNullSafe(F.col("kept_id")), "left")
+    done = rows.select("doc_id", "n_words", "sha", "row").join(groups.select("sha", "first_id"), "sha").withColumn("copy", F.coalesce(copy, F.lit(False)))
+    # copies of a sequence don't need its removals and get a key that meets none, so the join's key is not hot
+    key = F.when(F.col("copy"), F.concat(F.lit("-"), F.col("row").cast("string"))).otherwise(F.col("sha"))
+    joined = done.withColumn("key", key).join(kept, F.col("key") == F.col("kept_of"), "left")
     return joined.select(
         "doc_id", "n_words",
         F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),

@@ -67,3 +67,37 @@ def test_hot_passage_and_long_text(docs, rows):
 def test_empty_table(docs):
     assert sd.substring_dedup(docs()).count() == 0
     assert sd.substring_dedup(docs((1, None), (2, "short"))).count() == 2
+
+
+def test_long_texts_of_one_doc_id(docs, rows):
+    chosen = random.Random(3)
+    a, b = (" ".join(words(chosen, 160_000, 100_000)) for _ in range(2))
+    documents = [(1, a), (1, b), (2, " ".join(a.split()[1_000:1_200])), (1, None), (1, a), (None, b)]
+    assert rows(sd.substring_dedup(docs(*documents)), *COLUMNS) == brute(documents)
+
+
+def test_many_rows_without_doc_id_are_not_paired(docs, rows):
+    chosen = random.Random(4)
+    shared = words(chosen, 70)
+    documents = [(None, " ".join(words(chosen, 30) + shared + words(chosen, 30))) for _ in range(1_000)] + [(8, " ".join(shared))]
+    df = docs(*documents)
+    met = sd.name_windows
+    seen = []
+
+    def counted(texts, window):
+        seen.append(texts.count())
+        return met(texts, window)
+
+    sd.name_windows = counted
+    try:
+        assert rows(sd.substring_dedup(df), *COLUMNS) == brute(documents)
+    finally:
+        sd.name_windows = met
+    assert seen == [1_001]  # each text is read once
+
+
+def test_columns_with_clashing_names(docs, rows):
+    from pyspark.sql import functions as F
+
+    df = docs((1, "a b"), (2, " ".join(["x"] * 60))).withColumns({c: F.lit("other") for c in ("sha", "symbols", "file", "sequence", "first", "kept_of", "shared", "key")})
+    assert rows(sd.substring_dedup(df), *COLUMNS) == brute([(1, "a b"), (2, " ".join(["x"] * 60))])
