@@ -44,3 +44,51 @@ def test_table(spark):
 def test_self_closing_svg_and_math_end_at_once(name):
     assert main_text(f"<article><p>a</p><{name} class='x'/><p>b</p><{name}><text>no</text></{name}><p>c</p></article>") == "a\nb\nc"
     assert main_text(f"<article><p>a</p><{name} /><p>b</p></article>") == "a\nb"
+
+
+TEASER = "<article><h2>Teaser</h2><p>A card.</p></article>"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        # the windows decide, though the page declares an article
+        (f"<body><div id=story><h1>Title</h1><p>{LONG}</p><p>{LONG}</p><p>End.</p></div><nav><a>1</a></nav><nav>2</nav><nav>3</nav>{TEASER}</body>", f"Title\n{PLAIN}\n{PLAIN}\nEnd."),
+        (f"<body>{TEASER}<div id=story><p>{LONG}</p><p>{LONG}</p></div></body>", f"{PLAIN}\n{PLAIN}"),
+        (f"<body><article></article><div><p>{LONG}</p></div></body>", PLAIN),
+        (f"<body><article><h1>T</h1><p>{LONG}</p><p>s</p></article><div><p>An unmarked line elsewhere.</p></div></body>", f"T\n{PLAIN}\ns"),
+        # furniture cuts off short lines, whose container holds the article
+        (f"<body><div><h1>Short title</h1><ul class=share><li>a<li>b<li>c</ul><p>{LONG}</p><div class=ad><p>1<p>2<p>3</div><p>Last.</p></div><div>far</div></body>", f"Short title\n{PLAIN}\nLast."),
+        # within an article, names that only hold such a word
+        (f"<article><div class=notice-board><p>{LONG}</p></div><h2 id=Social_impact>S</h2><section id=related-work><p>w</p></section><p class=form-note>n</p></article>", f"{PLAIN}\nS\nw\nn"),
+        ("<article><p>a</p><div class='related-posts'>no</div><div class=shareButtons>no</div><div id=ad-12>no</div><div class=comments-area>no</div></article>", "a"),
+        ("<article><p>Formula <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x = 2</annotation></math> holds.</p></article>", "Formula x=2 holds."),
+        ("<article><ul><li><a href=1>one</a><li><a href=2>two</a></ul></article>", "one\ntwo"),
+    ],
+)
+def test_where_the_text_is(page, text):
+    assert main_text(page) == text
+
+
+def test_windows_against_brute_force():
+    import random
+
+    from tessera.llm.html_text import stretches
+
+    chosen = random.Random(6)
+    for _ in range(500):
+        lengths = [chosen.choice([0, 0, 5, 40, 200]) for _ in range(chosen.randrange(25))]
+        surge = chosen.choice([1, 50, 80, 1_000])
+        sums = [sum(lengths[i : i + 3]) for i in range(len(lengths))]
+        least, inside, expected = min(surge, max(sums, default=0)), False, []
+        for s in sums:
+            inside = least > 0 and (s > 0 if inside else s >= least)
+            expected.append(inside)
+        assert [any(a <= i < b for a, b in stretches(lengths, surge=surge)) for i in range(len(lengths))] == expected
+
+
+def test_columns_with_clashing_names_and_deep_pages(spark):
+    df = spark.createDataFrame([("7", "u", "<article><p>x</p></article>", 1, "c")], "page_id string, url string, html string, node int, length string")
+    assert tuple(html_text(df).first()) == (7, "u", "x", 1)
+    deep = "<div>" * 3_000 + f"<p>{LONG}</p>" + "</div>" * 3_000
+    assert main_text(deep) == PLAIN and main_text("<p>" * 5_000 + "a") == "a"
