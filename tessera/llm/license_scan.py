@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import whole
 
 K = 3
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 # The phrases whose places are counted, and their labels.
 PHRASES = (("mit", "under the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc"))
@@ -76,7 +77,7 @@ def license_scan(
     hashes = [r[0] for r in table.select("hash").distinct().collect()]  # of the fixed list
     words = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col("doc_id"),
-        F.regexp_extract_all(F.lower(whole()), F.lit(f"({WORDS})"), F.lit(1)).alias("words"),
+        F.regexp_extract_all(F.translate(whole(), UPPER, UPPER.lower()), F.lit(f"({WORDS})"), F.lit(1)).alias("words"),
     )
     w = F.col("words")
     starts = F.when(F.size(w) >= K, F.sequence(F.lit(0), F.size(w) - K)).otherwise(F.array().cast("array<int>"))

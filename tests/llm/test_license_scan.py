@@ -45,3 +45,8 @@ def test_other_phrases_and_empty_table(docs):
     spans = license_scan(docs((1, "a b c d a b c d")), phrases=[("x", "a b c d"), ("y", "b c d")], notices=[])
     assert sorted((r.label, r.first_word) for r in spans.collect()) == [("x", 0), ("x", 4), ("y", 1), ("y", 5)]
     assert license_scan(docs()).count() == 0
+
+
+def test_only_ascii_letters_are_lower_cased(docs):
+    spans = license_scan(docs((1, "KILO watt hour"), (2, "Kilo watt hour"), (3, "kilo WATT Hour")), phrases=[("x", "kilo watt hour")], notices=[])
+    assert sorted(r.doc_id for r in spans.collect() if r.label) == [1, 3]
