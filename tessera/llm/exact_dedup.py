@@ -164,7 +164,8 @@ def exact_dedup(
         index.tier()
 
     repeated = stored(index.lookup(hits.distinct()), "repeated")
-    texts = stored(bodies.join(repeated, "digest").select("digest", "doc_id", "body", "best", "copies"), "texts", compression="zstd")
+    # the hits grow with the input: one plan at every size, and none that broadcasts them
+    texts = stored(bodies.join(repeated.hint("merge"), "digest").select("digest", "doc_id", "body", "best", "copies"), "texts", compression="zstd")
     salts = F.ceil(F.col("copies") / hot).cast("int")
     models = (
         texts.where(F.col("doc_id").eqNullSafe(F.col("best.doc_id")))
