@@ -6,6 +6,7 @@ nothing in one task; every round is written to the shared folder, so that a lost
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,3 +39,24 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         before = mark
         now = stored(_directed(_small_star(_directed(_large_star(now)))), "edges")
+
+
+def nearest_forest(a: np.ndarray, b: np.ndarray, distance: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Which of the edges (a, b) make a minimum spanning forest over groups of points; ``group`` numbers each point's.
+
+    Edges are taken level by level of their distance, so that points that a threshold connects are connected by edges
+    below it.
+    """
+    parent, chosen = np.arange(int(group.max(initial=-1)) + 1), [np.zeros(0, np.int64)]
+    order = np.argsort(distance, kind="stable")
+    for level in np.split(order, np.flatnonzero(np.diff(distance[order])) + 1):
+        while len(level):
+            p, q = parent[group[a[level]]], parent[group[b[level]]]
+            apart = p != q
+            level, p, q = level[apart], p[apart], q[apart]
+            joined, first = np.unique(np.maximum(p, q), return_index=True)
+            chosen.append(level[first])
+            parent[joined] = np.minimum(p, q)[first]
+            while not np.array_equal(parent, up := parent[parent]):
+                parent = up
+    return np.concatenate(chosen)

@@ -1,14 +1,20 @@
-"""Exact near copies: all pairs of texts whose five-word shingles have a Jaccard similarity of 0.8 or more.
-
-Texts with equal sets of shingles are one point. Shingles have one order for all texts; of two sets of n and k shingles
-at the threshold, the n - ceil(0.8 n) + 1 first of the one and as many of the other share one (the prefix filter), so
-texts that share none of those are no candidates and none is lost. The order puts shingles that are common in a bounded
-sample last, the rest by hash; the sample only decides how many candidates there are.
-
-A pair that shares s of those first shingles has at most s + r shingles in common, r being the larger number of later
-ones, which rules most candidates out. What is left is compared by whole sets. A shingle that more than ``HOT`` points
-have first counts as shared in that bound, and its points are compared with two of them; only those that this leaves in
-different components are paired.
+"""Near copies: texts whose five-word shingles have a Jaccard similarity of 0.8 or more, linked to components.
+
+Texts with equal sets of shingles are one point.
+
+1. SimHash: points whose fingerprints the forest of vantage-point trees links are compared by whole sets. This finds
+   most links; later steps look only at points that it leaves in different components.
+2. What it can't see, a prefix filter finds: shingles have one order for all texts; of two sets of n and k shingles at
+   the threshold, the n - ceil(0.8 n) + 1 first of the one and as many of the other share one, so texts that share none
+   of those are no candidates and none is lost. The order puts shingles that are common in a bounded sample last, the
+   rest by hash; the sample only decides how many candidates there are. A pair that shares s of those first shingles
+   has at most s + r in common, r being the larger number of later ones, which rules most candidates out. What is left
+   is compared by whole sets.
+3. A shingle that more than ``HOT`` points of several components have first makes no pairs. Its points are dealt to
+   cells of bounded size and compared there by 512-bit SimHash fingerprints; a cell returns a minimum spanning forest
+   over components of what lies within ``FAR`` bits, at most one edge a point, which is then compared by whole sets.
+   For sets at the threshold FAR is over four standard deviations above the distance to be expected, so that this step
+   may miss a link that no other path makes up for, once in about 100,000.
 
 Sets are of 64-bit hashes. Words are separated by ASCII white space, and only A-Z are lower-cased; a text of fewer than
 five words is one shingle; texts without words are copies of each other.
@@ -16,20 +22,42 @@ five words is one shingle; texts without words are copies of each other.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import FILE, ROW, stored
-from tessera.llm.components import components
+from tessera.llm.components import components, nearest_forest
 
 WIDTH, SEED = 5, 42
 SAMPLE, COMMON, MOST_COMMON = 20_000, 4, 500_000
+#: Points that a shingle pairs, and those of a larger group in a cell.
 HOT, SALT = 50, 1_000
+#: 64-bit words of a wide fingerprint; bits in which sets at the threshold may differ, and sets of under FEW shingles.
+SIGN_WORDS, FAR, FAR_FEW, FEW = 8, 115, 160, 64
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the 64-bit hashes have."""
+    counts = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), 8_192):
+        bits = np.unpackbits(hashes[i : i + 8_192].astype("<u8", copy=False).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        counts += bits.sum(axis=0, dtype=np.int32)
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def signature(hashes: np.ndarray) -> np.ndarray:
+    """The wide fingerprint."""
+    words = []
+    for i in range(SIGN_WORDS):
+        mixed = (hashes ^ (hashes >> np.uint64(29))) * np.uint64((0x9E3779B97F4A7C15 * (2 * i + 1) ** 3) % 2**64)
+        words.append(majority(mixed ^ (mixed >> np.uint64(32))))
+    return np.array(words, np.uint64)
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -82,22 +110,24 @@ def common_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def marked(rows: DataFrame) -> DataFrame:
-    """rows (doc_id, tessera_file, tessera_row, text) -> with point, n (its shingles) and firsts instead of the text."""
+    """rows (doc_id, tessera_file, tessera_row, text) -> with point, n (its shingles), fp and firsts instead of the text."""
     common = rows.sparkSession.sparkContext.broadcast(common_shingles(rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            points, sizes, firsts = [], [], []
+            points, sizes, prints, firsts = [], [], [], []
             for text in batch.column("text").to_pylist():
                 found = shingles(text)
                 points.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
                 sizes.append(len(found))
+                prints.append(majority(found))
                 firsts.append(first(found, *common.value).view(np.int64))
-            columns = [batch.column("doc_id"), batch.column(FILE), batch.column(ROW), pa.array(np.array(points, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", FILE, ROW, "point", "n", "firsts"])
+            numbers = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (points, sizes, prints)]
+            columns = [batch.column("doc_id"), batch.column(FILE), batch.column(ROW), *numbers, pa.array(firsts, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", FILE, ROW, "point", "n", "fp", "firsts"])
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select("doc_id", FILE, ROW).schema)
-    return rows.select("doc_id", FILE, ROW, "text").mapInArrow(run, f"{kinds}, point bigint, n bigint, firsts array<bigint>")
+    return rows.select("doc_id", FILE, ROW, "text").mapInArrow(run, f"{kinds}, point bigint, n bigint, fp bigint, firsts array<bigint>")
 
 
 def _alike(shared: Column) -> Column:
@@ -110,6 +140,14 @@ SIZES = "least(na, nb) * 5 >= greatest(na, nb) * 4"
 LATER = "greatest((4 * na + 4) div 5 - 1, (4 * nb + 4) div 5 - 1)"
 
 
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """Pairs (x, nx, y, ny) of points as (a, b, na, nb) with a < b, once each, without those whose sizes are too unlike."""
+    turned = F.col("x") > F.col("y")
+    pick = lambda one, other, name: F.when(turned, F.col(one)).otherwise(F.col(other)).alias(name)
+    own = pairs.where("x != y").select(pick("y", "x", "a"), pick("x", "y", "b"), pick("ny", "nx", "na"), pick("nx", "ny", "nb"))
+    return own.where(SIZES).distinct()
+
+
 def _verified(pairs: DataFrame, rows: DataFrame, points: DataFrame) -> DataFrame:
     """Of pairs (a, b, na, nb) those at the threshold, by whole sets."""
     pairs = stored(pairs.select("a", "b", "na", "nb"), "candidates")
@@ -120,48 +158,98 @@ def _verified(pairs: DataFrame, rows: DataFrame, points: DataFrame) -> DataFrame
     return stored(both.where(_alike(F.size(F.array_intersect("x", "y")))).select("a", "b"), "alike")
 
 
+def by_fingerprint(points: DataFrame, near: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Pairs (a, b, na, nb): those of equal fingerprints with one that stands for them, and of these what ``near`` links."""
+    stand = stored(points.groupBy("fp").agg(F.min(F.struct("point", "n")).alias("s")).select("fp", "s.point", "s.n"), "prints")
+    same = points.select("fp", F.col("point").alias("x"), F.col("n").alias("nx")).join(stand.select("fp", F.col("point").alias("y"), F.col("n").alias("ny")), "fp")
+    ends = [stand.select(F.col("fp").alias(f), F.col("point").alias(p), F.col("n").alias(f"n{p}")) for f, p in (("a", "x"), ("b", "y"))]
+    far = near(stand.select("fp")).join(ends[0], "a").join(ends[1], "b")
+    return _ordered(same.select("x", "nx", "y", "ny").unionByName(far.select("x", "nx", "y", "ny")))
+
+
+def _hot(hot: DataFrame, rows: DataFrame, points: DataFrame) -> DataFrame:
+    """Pairs (a, b, na, nb) among the points of each hot shingle, hot being (token, point, n, root, c points)."""
+    # shingles of one passage are first in the same points: one of them stands for all
+    sets = hot.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.expr("bit_xor(xxhash64(point))").alias("x"), F.expr("bit_xor(point)").alias("y"))
+    hot = hot.join(sets.groupBy("c", "x", "y").agg(F.min("token").alias("token")).select("token"), "token", "left_semi")
+    places = points.join(hot.select("point").distinct(), "point", "left_semi").select("point", F.col("least")[FILE].alias(FILE), F.col("least")[ROW].alias(ROW))
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [signature(shingles(x)).tobytes() for x in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("point"), pa.array(found, pa.binary())], names=["point", "sign"])
+
+    signs = rows.select("text", FILE, ROW).join(places, [FILE, ROW]).select("point", "text").mapInArrow(sign, "point bigint, sign binary")
+    signs = stored(signs, "signs")
+
+    def compare(cell: pd.DataFrame) -> pd.DataFrame:
+        cell = cell.drop_duplicates("point")
+        signs = np.frombuffer(b"".join(cell.sign), np.uint64).reshape(-1, SIGN_WORDS)
+        n, part, root = (cell[c].to_numpy() for c in ("n", "p", "root"))
+        low, high = np.flatnonzero(part == cell.lo.iloc[0]), np.flatnonzero(part == cell.hi.iloc[0])
+        found = [np.zeros((3, 0), np.int64)]
+        for i in range(0, len(low), 200):
+            own = low[i : i + 200]
+            apart = np.zeros((len(own), len(high)), np.int64)
+            for w in range(SIGN_WORDS):
+                apart += np.bitwise_count(signs[own, w][:, None] ^ signs[high, w][None, :])
+            less, more = np.minimum(n[own][:, None], n[high][None, :]), np.maximum(n[own][:, None], n[high][None, :])
+            x, y = np.nonzero((apart <= np.where(less < FEW, FAR_FEW, FAR)) & (less * 5 >= more * 4) & (root[own][:, None] != root[high][None, :]))
+            found.append(np.stack([own[x], high[y], apart[x, y]]))
+        a, b, d = np.concatenate(found, axis=1)
+        kept = nearest_forest(a, b, d, np.unique(root, return_inverse=True)[1])
+        point = cell.point.to_numpy()
+        return pd.DataFrame({"x": point[a[kept]], "nx": n[a[kept]], "y": point[b[kept]], "ny": n[b[kept]]})
+
+    parts = F.ceil(F.col("c") / SALT).cast("int")
+    sent = hot.withColumn("p", F.pmod(F.xxhash64("point"), parts).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), parts - 1)))
+    sent = sent.select("token", F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi"), "p", "point", "n", "root").join(signs, "point")
+    return _ordered(sent.groupBy("token", "lo", "hi").applyInPandas(compare, "x bigint, nx bigint, y bigint, ny bigint"))
+
+
 def links(rows: DataFrame, found: DataFrame, points: DataFrame) -> DataFrame:
-    """(a, b): edges that connect exactly the points that pairs at the threshold connect.
+    """(a, b): edges that connect what pairs at the threshold connect beyond the points' components.
 
-    ``found`` are rows as ``marked`` gives them, ``points`` (point, least) a row with the place of each point's text.
+    ``found`` are rows as ``marked`` gives them, ``points`` (point, least, root) a row with the place of each point's
+    text and its component.
     """
-    tokens = found.select("point", "n", F.explode("firsts").alias("token"))
-    shared = stored(tokens.groupBy("token").agg(F.min("point").alias("lo"), F.max("point").alias("hi")).where("lo < hi"), "shared")
-    kept = stored(tokens.join(shared, "token").distinct(), "tokens")
-    much = kept.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT)
-    much = stored(much, "hot")
-    hot = stored(kept.join(much, "token"), "hot-tokens")
+    own = points.select(F.col("least")[FILE].alias(FILE), F.col("least")[ROW].alias(ROW), "root")
+    tokens = found.join(own, [FILE, ROW]).select("point", "n", "root", F.explode("firsts").alias("token"))
+    tokens = stored(tokens, "tokens")
+    shared = tokens.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo < hi")
+    kept = stored(tokens.join(stored(shared.select("token", "c"), "shared"), "token"), "shared-tokens")
+    hot = stored(kept.where(F.col("c") > HOT), "hot-tokens")
     held = hot.groupBy("point").agg(F.count(F.lit(1)).alias("h"))
-    cold = stored(kept.join(much, "token", "left_anti").join(held, "point", "left").select("token", "point", "n", F.coalesce("h", F.lit(0)).alias("h")), "cold-tokens")
+    cold = kept.where(F.col("c") <= HOT).join(held, "point", "left").select("token", "point", "n", "root", F.coalesce("h", F.lit(0)).alias("h"))
+    cold = stored(cold, "cold-tokens")
 
-    left, right = (cold.select("token", F.col("point").alias(x), F.col("n").alias(f"n{x}"), F.col("h").alias(f"h{x}")) for x in "ab")
-    pairs = left.join(right, "token").where("a < b").where(SIZES).groupBy("a", "b", "na", "nb", "ha", "hb").agg(F.count(F.lit(1)).alias("s"))
+    left, right = (cold.select("token", F.col("point").alias(x), *(F.col(c).alias(f"{c}{x}") for c in ("n", "h", "root"))) for x in "ab")
+    pairs = left.join(right, "token").where("a < b AND roota != rootb").where(SIZES).groupBy("a", "b", "na", "nb", "ha", "hb").agg(F.count(F.lit(1)).alias("s"))
     pairs = pairs.where(_alike(F.col("s") + F.least("ha", "hb") + F.expr(LATER))).select("a", "b", "na", "nb")
-    most = much.agg(F.max("c")).first()[0]
-    if most is None:
-        return _verified(pairs, rows, points)
-
-    sizes = hot.select("point", "n").distinct()
-    ends = hot.select(F.explode(F.array("lo", "hi")).alias("end"), "point").where("end != point").select(F.least("end", "point").alias("a"), F.greatest("end", "point").alias("b")).distinct()
-    ends = ends.join(sizes.select(F.col("point").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("point").alias("b"), F.col("n").alias("nb")), "b")
-    edges = _verified(pairs.unionByName(ends.where(SIZES)).distinct(), rows, points)
-    roots = components(edges).select(F.col("node").alias("point"), "root")
-    hot = stored(hot.join(roots, "point", "left").select("token", "point", "n", F.coalesce("root", "point").alias("root")), "hot-roots")
-    open_ = hot.groupBy("token").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("token")
-    hot = hot.join(open_, "token", "left_semi")
-    salts = -(-most // SALT)
-    left = hot.select("token", F.col("point").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"), F.pmod(F.xxhash64("point"), F.lit(salts)).alias("salt"))
-    right = hot.select("token", F.col("point").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
-    across = left.join(right, ["token", "salt"]).where("a < b AND ra != rb").where(SIZES).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("s"))
-    return edges.unionByName(_verified(across.where(_alike(F.col("s") + F.expr(LATER))), rows, points))
-
-
-def without_near_copies(rows: DataFrame) -> DataFrame:
-    """(tessera_file, tessera_row) of the rows that go: all but the least of each component, by doc_id (null last) and place."""
+    if not hot.isEmpty():
+        pairs = pairs.unionByName(_hot(hot, rows, points)).distinct()
+    return _verified(pairs, rows, points)
+
+
+def _rooted(points: DataFrame, edges: DataFrame, name: str) -> DataFrame:
+    """``points`` with the component that the edges between their roots put them in."""
+    roots = components(edges).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    return stored(points.join(roots, "root", "left").withColumn("root", F.coalesce("top", "root")).drop("top"), name)
+
+
+def without_near_copies(rows: DataFrame, near: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(tessera_file, tessera_row) of the rows that go: all but the least of each component, by doc_id (null last) and place.
+
+    ``near`` gives edges (a, b) between fingerprints (fp) that differ in few bits.
+    """
     found = stored(marked(rows), "marked")
     own = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", FILE, ROW)  # names one row, whatever doc_ids repeat
-    points = stored(found.groupBy("point").agg(F.min(own).alias("least")), "points")
-    roots = components(links(rows, found, points)).select(F.col("node").alias("point"), "root")
-    rooted = points.join(roots, "point", "left").withColumn("root", F.coalesce("root", "point"))
-    named = stored(rooted.join(rooted.groupBy("root").agg(F.min("least").alias("stays")), "root").select("point", "stays"), "named")
+    points = found.groupBy("point").agg(F.min(own).alias("least"), F.min("n").alias("n"), F.min("fp").alias("fp")).withColumn("root", F.col("point"))
+    points = stored(points, "points")
+    points = _rooted(points, _verified(by_fingerprint(points, near), rows, points), "near-points")
+    root = points.select("point", "root")
+    more = links(rows, found, points)
+    more = more.join(root.toDF("a", "x"), "a").join(root.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    points = _rooted(points, more, "all-points")
+    named = stored(points.join(points.groupBy("root").agg(F.min("least").alias("stays")), "root").select("point", "stays"), "named")
     return found.join(named, "point").where(own != F.col("stays")).select(FILE, ROW)

@@ -9,9 +9,14 @@ distance d lives inside if d <= t and outside otherwise, and by the triangle bou
 d <= t + 1 and the outside only if d > t - 1. Leaves are the shards. A fingerprint is sent to its home and to the
 later shards that its ball overlaps, where whole fingerprints are compared; so all pairs are found, exactly.
 
-Vantage points come from a bounded sample of fingerprints, which only decides how even the shards are. Equal
-fingerprints are one point. Shards are cut into cells of bounded size, and a cell returns a spanning forest of its
-links (at most one a point), not its pairs. Links are joined to components by star rounds.
+Vantage points come from a bounded sample of fingerprints, which only decides how even the shards are; nodes that
+too few of it reach take a point at random and half the block's bits. Trees deepen with the fingerprints, a level for
+each doubling, down to where leaves would hold single values of a block. Equal fingerprints are one point. Shards are
+cut into cells of bounded size, and a cell returns a minimum spanning forest of its links (at most one a point), not
+its pairs. Links are joined to components by star rounds.
+
+``near_dedup`` takes fingerprints of five-word shingles, compares the texts they link by whole shingle sets, and
+completes the links exactly (``near_copies``).
 
 Defined cases: null text counts as empty; a text without words has fingerprint zero and links like any other; a null
 doc_id takes part but never names a component unless all are null; repeated rows stay rows; an empty table gives an
@@ -20,7 +25,6 @@ empty result; further columns are kept by ``near_dedup`` and ignored by ``near_d
 
 from __future__ import annotations
 
-import random
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,12 +35,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import FILE, ROW, placed_rows, stored
-from tessera.llm.components import components
-from tessera.llm.near_copies import without_near_copies
+from tessera.llm.components import components, nearest_forest
+from tessera.llm.near_copies import majority, without_near_copies
 
 WIDTH, SEED, BITS, RADIUS = 4, 42, 64, 4
 BLOCKS = ((0, 22), (22, 21), (43, 21))
-SAMPLE, LEAF, DEPTH = 20_000, 512, 13
+SAMPLE, LEAF, DEPTH = 20_000, 512, 20
+#: Sampled points below which a node doesn't take its median from them.
+ENOUGH = 8
+#: Points whose visits a task holds at once.
+VISIT_POINTS = 4_096
 #: Points at home and visitors in a cell.
 HOME_CELL, VISITOR_CELL = 4_096, 65_536
 
@@ -53,12 +61,7 @@ def fingerprint(text: str | None, width: int = WIDTH) -> int:
     digest = xxhash.xxh64_intdigest
     if len(words) <= width:
         return digest(joined, SEED)
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[width - 1 :].tolist(), strict=False)], "<u8")
-    counts = np.zeros(BITS, np.int64)
-    for i in range(0, len(hashes), 8_192):
-        bits = np.unpackbits(hashes[i : i + 8_192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(axis=0, dtype=np.int32)
-    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
+    return majority(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[width - 1 :].tolist(), strict=False)], "<u8"))
 
 
 def fingerprints(docs: DataFrame, *kept: str) -> DataFrame:
@@ -83,16 +86,21 @@ class VantageTree:
     def __init__(self, sample: np.ndarray, mask: int, depth: int, reach: int, seed: int) -> None:
         self.depth, self.reach, nodes = depth, reach, 2**depth - 1
         self.mask = np.uint64(mask)
-        chooser = random.Random(seed)
-        self.vantage, self.median = np.zeros(nodes, np.uint64), np.zeros(nodes, np.int64)
-        held = {0: sample & self.mask}
-        for node in range(nodes):
-            points = held.pop(node, np.zeros(0, np.uint64))
-            own = int(points[chooser.randrange(len(points))]) if len(points) else chooser.getrandbits(64) & mask
-            self.vantage[node] = own
-            d = distance(points, np.uint64(own)).astype(np.int64)
-            self.median[node] = np.median(d) if len(d) else mask.bit_count() // 2
-            held[2 * node + 1], held[2 * node + 2] = points[d <= self.median[node]], points[d > self.median[node]]
+        chooser = np.random.default_rng(seed)
+        self.vantage = chooser.integers(0, 2**64, nodes, np.uint64) & self.mask
+        self.median = np.full(nodes, mask.bit_count() // 2, np.int8)
+        points = sample & self.mask
+        node = np.zeros(len(points), np.int64)
+        for level in range(depth):
+            first, count = 2**level - 1, 2**level
+            held = np.bincount(node - first, minlength=count)
+            starts, full = np.cumsum(held) - held, np.flatnonzero(held >= ENOUGH)
+            chosen = np.argsort(node, kind="stable")[starts[full] + chooser.integers(0, held[full])]
+            self.vantage[first + full] = points[chosen]
+            d = distance(points, self.vantage[node]).astype(np.int64)
+            in_order = d[np.lexsort((d, node))]
+            self.median[first + full] = in_order[starts[full] + (held[full] - 1) // 2]
+            node = 2 * node + 1 + (d > self.median[node])
 
     def visits(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, leaf, whether it is the row's home) for all leaves that a row's ball overlaps."""
@@ -100,7 +108,7 @@ class VantageTree:
         row, node, home = np.arange(len(points)), np.zeros(len(points), np.int64), np.ones(len(points), bool)
         for _ in range(self.depth):
             d = distance(masked[row], self.vantage[node]).astype(np.int64)
-            t = self.median[node]
+            t = self.median[node].astype(np.int64)
             inside, outside = d <= t + self.reach, d > t - self.reach
             row, home, node = (
                 np.concatenate([row[inside], row[outside]]),
@@ -119,35 +127,31 @@ class Forest:
 
     def visits(self, points: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(row, shard, home) by tree, without visits to shards before the home: the other point makes those."""
-        for i, tree in enumerate(self.trees):
-            row, leaf, home = tree.visits(points)
-            own = np.zeros(len(points), np.int64)
-            own[row[home]] = leaf[home]
-            later = leaf >= own[row]
-            yield row[later], leaf[later] + i * self.leaves, home[later]
+        for first in range(0, len(points), VISIT_POINTS):
+            part = points[first : first + VISIT_POINTS]
+            for i, tree in enumerate(self.trees):
+                row, leaf, home = tree.visits(part)
+                own = np.zeros(len(part), np.int64)
+                own[row[home]] = leaf[home]
+                later = leaf >= own[row]
+                yield row[later] + first, leaf[later] + i * self.leaves, home[later]
 
 
 def linked(home: np.ndarray, visitors: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest (point, root) of the links between the two sets."""
+    """A minimum spanning forest (a, b) of the links between the two sets."""
     points = np.unique(np.concatenate([home, visitors]))
-    parent = np.arange(len(points))
     home = np.unique(home)
-    of_home, step = np.searchsorted(points, home), max(1, 4_000_000 // max(1, len(home)))
+    of_home, step, every = np.searchsorted(points, home), max(1, 4_000_000 // max(1, len(home))), np.arange(len(points))
+    found = [np.zeros((3, 0), np.int64)]
     for i in range(0, len(visitors), step):
         part = visitors[i : i + step]
-        v, h = np.nonzero(distance(part[:, None], home[None, :]) <= radius)
-        a, b = np.searchsorted(points, part)[v], of_home[h]
-        while True:
-            pa_, pb = parent[a], parent[b]
-            apart = pa_ != pb
-            if not apart.any():
-                break
-            a, b, pa_, pb = a[apart], b[apart], pa_[apart], pb[apart]
-            np.minimum.at(parent, np.maximum(pa_, pb), np.minimum(pa_, pb))
-            while not np.array_equal(parent, up := parent[parent]):
-                parent = up
-    moved = np.flatnonzero(parent != np.arange(len(points)))
-    return points[moved], points[parent[moved]]
+        apart = distance(part[:, None], home[None, :])
+        v, h = np.nonzero(apart <= radius)
+        a, b, d = np.searchsorted(points, part)[v], of_home[h], apart[v, h].astype(np.int64)
+        found.append(np.stack([a, b, d])[:, nearest_forest(a, b, d, every)])
+    a, b, d = np.concatenate(found, axis=1)
+    kept = nearest_forest(a, b, d, every)
+    return points[a[kept]], points[b[kept]]
 
 
 def links(points: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -167,7 +171,7 @@ def links(points: DataFrame, radius: int = RADIUS) -> DataFrame:
         shards = np.flatnonzero(visiting)
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (shards, at_home[shards], visiting[shards])], names=["shard", "n_home", "n_visits"])
 
-    # a row for each shard, at most 3 * 2**DEPTH of them
+    # a row for each shard, at most 3 * 2**DEPTH of them, and LEAF times as many points
     sizes = points.mapInArrow(count, "shard bigint, n_home bigint, n_visits bigint").groupBy("shard").agg(F.sum("n_home").alias("n_home"), F.sum("n_visits").alias("n_visits")).toPandas()
     cuts = np.ones((len(BLOCKS) * 2**depth, 2), np.int64)
     cuts[sizes.shard] = np.maximum(1, -(-sizes[["n_home", "n_visits"]].to_numpy() // np.array([HOME_CELL, VISITOR_CELL])))
@@ -216,12 +220,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def near_dedup(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component of near copies: that of the smallest doc_id (null last), the first in the input.
 
-    Near copies are texts at a Jaccard similarity of 0.8 or more (``near_copies``), not those of near fingerprints.
+    Near copies are texts whose five-word shingles have a Jaccard similarity of 0.8 or more (``near_copies``).
     """
     rows = placed_rows(docs)
     if rows is None:  # a table of its own gives rows a place that doesn't change
         rows = placed_rows(stored(docs, "rows", compression="zstd"))
-    gone = without_near_copies(rows.select("doc_id", FILE, ROW, "text"))
+    gone = without_near_copies(rows.select("doc_id", FILE, ROW, "text"), links)
     return rows.join(gone, [FILE, ROW], "left_anti").drop(FILE, ROW)
 
 

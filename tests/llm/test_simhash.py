@@ -134,3 +134,64 @@ def test_components_of_a_chain_and_a_star(spark):
     random.Random(1).shuffle(chain)
     found = dict(map(tuple, components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()))
     assert found == {i: 0 for i in range(1, 201)} | {i: 1_000 for i in range(1_001, 1_400)}
+
+
+def test_nearest_forest_against_prims():
+    from tessera.llm.components import nearest_forest
+
+    chosen = np.random.default_rng(2)
+    for n in (1, 2, 30, 80):
+        a, b = chosen.integers(0, n, (2, 300))
+        d, group = chosen.integers(0, 6, 300), np.arange(n) // 2
+        kept = nearest_forest(a, b, d, group)
+        for most in range(6):  # what edges up to a distance connect, the forest's edges up to it connect too
+            roots = []
+            for edges in (np.arange(300), kept):
+                root = group.copy()
+                for e in edges[d[edges] <= most]:
+                    x, y = sorted((root[a[e]], root[b[e]]))
+                    root[root == y] = x
+                roots.append(root)
+            assert (roots[0] == roots[1]).all()
+        assert len(kept) < max(1, len(np.unique(group)))
+
+
+def test_trees_deepen_with_few_sampled_points():
+    chosen = np.random.default_rng(5)
+    points = chosen.integers(0, 2**63, 3_000, dtype=np.uint64) * np.uint64(2)
+    pairs = np.concatenate([points, points ^ np.uint64(0b1010000000000000000000000000000000100000000000000000000000001)])
+    forest = simhash.Forest(points[:50], 16)
+    homes, visits = {}, {}
+    for tree, (row, shard, home) in enumerate(forest.visits(pairs)):
+        for r, s, h in zip(row.tolist(), shard.tolist(), home.tolist(), strict=True):
+            visits.setdefault(r, set()).add(s)
+            if h:
+                homes.setdefault(r, set()).add(s)
+    assert all(len(homes[r]) == 3 for r in range(6_000))
+    assert all(visits[r] & homes[r + 3_000] or visits[r + 3_000] & homes[r] for r in range(3_000))
+
+
+def test_hot_family_beyond_one_cell(docs, rows, monkeypatch):
+    """Many texts that share most of a passage, some of them copies of each other: exact against all pairs."""
+    monkeypatch.setattr(near_copies, "HOT", 5)
+    monkeypatch.setattr(near_copies, "SALT", 20)
+    chosen = random.Random(11)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for k in range(60):
+        own = list(base)
+        for _ in range(7):
+            own[chosen.randrange(150)] = f"x{k}-{chosen.randrange(10_000)}"
+        texts.append(" ".join(own))
+        if k % 3 == 0:
+            own[chosen.randrange(150)] = "changed"
+            texts.append(" ".join(own))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    root = list(range(len(texts)))
+    for j in range(len(texts)):
+        for i in range(j):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                x, y = sorted((root[i], root[j]))
+                root = [x if r == y else r for r in root]
+    assert 20 < len(set(root)) < len(texts)
+    assert rows(near_dedup(docs(*enumerate(texts))), "doc_id") == sorted(((i,) for i in set(root)), key=repr)
