@@ -6,8 +6,10 @@ model then locates the offending sentences.
 
 Training: at most ``most_labelled`` labelled documents (those smallest in a hash of their identifier; all of them where
 there are fewer), never held-out ones. Executors count in how many toxic and clean of these documents each feature
-occurs; the ``most_features`` features that tell most go into the model, and only their occurrences travel to the
-driver, which fits the weights. Scoring reads whole texts and nothing else.
+occurs. Those whose presence tells ``least_told`` nats or more by the likelihood-ratio statistic (5 nats: chance gives
+one in 600) go into the model, all of them; only their occurrences travel to the driver, which fits the weights until
+they stand still. So what the driver holds is bounded by the labelled documents. Scoring reads whole texts and nothing
+else.
 
 Defined cases: null text is empty, and a text without words scores 0; rows with null or repeated identifiers are
 scored alike; documents without a label are only scored; a document with several labels counts as toxic if one is;
@@ -16,10 +18,12 @@ without both kinds of labels every text with words gets the share of toxic ones;
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,15 +33,16 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import stored
 
-SENTENCE = re.compile(r"[^.!?\n]*[.!?\n]*")
-WORDS = re.compile(r"[^\W\d_]+").findall
+#: Words, and the marks that end sentences.
+TOKENS = re.compile(r"[^\W\d_]+|[.!?\n]").findall
+ENDS = re.compile(r"[.!?\n]")
 BEGINNINGS = (3, 4, 5, 6)
-MOST_LABELLED, MOST_FEATURES, MEMO = 20_000, 6_000, 300_000
+MOST_LABELLED, MEMO = 20_000, 300_000
 THRESHOLD, SENTENCE_THRESHOLD = 0.3, 0.3
-#: Documents in which a feature must occur to be one.
-SUPPORT = 3
 #: What a feature's presence must tell at least, in nats over the labelled documents.
 LEAST_TOLD = 5.0
+#: Steps of the fit at most, and the share of the loss that twenty of them must win for it to go on.
+ROUNDS, STILL = 400, 1e-3
 SCORED = "score double, n_sentences bigint, n_offending bigint, worst_start bigint, worst_score double"
 
 
@@ -46,11 +51,16 @@ def features(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in BEGINNINGS if len(word) > n)]
 
 
-def sentences(text: str) -> Iterator[tuple[int, list[str]]]:
-    """(start, lower-cased words) of each sentence with words."""
-    for m in SENTENCE.finditer(text):
-        if words := WORDS(m[0].lower()):
-            yield m.start(), words
+def sentences(text: str) -> list[list[str]]:
+    """The lower-cased words of each sentence with words."""
+    found: list[list[str]] = [[]]
+    for token in TOKENS(text.lower()):
+        if token in ".!?\n":
+            if found[-1]:
+                found.append([])
+        else:
+            found[-1].append(token)
+    return found if found[-1] else found[:-1]
 
 
 def softplus(z: np.ndarray) -> np.ndarray:
@@ -63,24 +73,39 @@ class SentenceModel:
 
     bias: float = -30.0
     weights: dict[str, float] = field(default_factory=dict)
-    memo: dict[str, float] = field(default_factory=dict)
+    #: Words met: their numbers, and by number what they add; number 0 ends sentences.
+    numbers: dict[str, int] = field(default_factory=dict)
+    added: list[float] = field(default_factory=list)
 
-    def word(self, word: str) -> float:
-        if (z := self.memo.get(word)) is None:
-            if len(self.memo) > MEMO:
-                self.memo.clear()
-            self.memo[word] = z = sum(self.weights.get(f, 0.0) for f in features(word))
-        return z
+    def number(self, word: str) -> int:
+        if (n := self.numbers.get(word)) is None:
+            self.numbers[word] = n = len(self.added)
+            self.added.append(sum(self.weights.get(f, 0.0) for f in features(word)))
+        return n
 
     def score(self, text: str) -> tuple[float, int, int, int | None, float | None]:
-        found = list(sentences(text))
-        if not found:
+        """The document's score, its sentences, the offending ones, and start and score of the worst."""
+        if not 0 < len(self.added) <= MEMO:
+            self.numbers, self.added = dict.fromkeys(".!?\n", 0), [0.0]
+        tokens, known = TOKENS(text.lower()), self.numbers.get
+        own = np.array([n if (n := known(t)) is not None else self.number(t) for t in tokens], np.int64)
+        marks = np.cumsum(own == 0)
+        sentence, at = marks[own > 0], own[own > 0]
+        if not len(at):
             return 0.0, 0, 0, None, None
-        word = self.word
-        z = np.array([sum(map(word, set(words))) for _, words in found]) + self.bias
+        first = np.flatnonzero(np.diff(sentence, prepend=-1))
+        z = np.full(len(first), self.bias)
+        added = np.array(list(map(self.added.__getitem__, at.tolist())))
+        telling = np.flatnonzero(added)
+        if len(telling):
+            place = np.searchsorted(sentence[first], sentence[telling])
+            distinct = np.unique(place * len(self.added) + at[telling], return_index=True)[1]
+            np.add.at(z, place[distinct], added[telling[distinct]])
         p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
         worst = int(p.argmax())
-        return float(-np.expm1(-softplus(z).sum())), len(found), int((p >= SENTENCE_THRESHOLD).sum()), found[worst][0], float(p[worst])
+        before = int(sentence[first[worst]])
+        start = next(islice(ENDS.finditer(text), before - 1, None)).end() if before else 0
+        return float(-np.expm1(-softplus(z).sum())), len(first), int((p >= SENTENCE_THRESHOLD).sum()), start, float(p[worst])
 
 
 def constant(share: float) -> SentenceModel:
@@ -89,7 +114,7 @@ def constant(share: float) -> SentenceModel:
 
 
 def fit(
-    labels: np.ndarray, plain: np.ndarray, bags: np.ndarray, lengths: np.ndarray, columns: np.ndarray, names: list[str], rounds: int = 400, ridge: float = 1e-4
+    labels: np.ndarray, plain: np.ndarray, bags: np.ndarray, lengths: np.ndarray, columns: np.ndarray, names: list[str], rounds: int = ROUNDS, ridge: float = 1e-4
 ) -> SentenceModel:
     """Of each document the label, its sentences without features, and those with; of each of these the number of
     features; the features, one after the other."""
@@ -98,10 +123,14 @@ def fit(
     theta = np.zeros(len(names) + 1)
     theta[-1] = np.log(labels.mean() / max(1.0, (plain + np.bincount(owner, minlength=len(labels))).mean()))
     mean, square = np.zeros_like(theta), np.zeros_like(theta)
+    losses: list[float] = []
     for step in range(1, rounds + 1):
         w, b = theta[:-1], theta[-1]
         z = b + np.bincount(rows, w[columns], len(lengths))
         total = np.bincount(owner, softplus(z), len(labels)) + plain * softplus(b)
+        losses.append(float(np.where(labels > 0, -np.log(-np.expm1(-np.clip(total, 1e-9, 500))), total).mean()))
+        if step > 60 and losses[-21] - losses[-1] < STILL * losses[-1]:
+            break
         slope = np.where(labels > 0, -1 / np.expm1(np.clip(total, 1e-9, 500)), 1.0) / len(labels)
         at = slope[owner] / (1 + np.exp(-np.clip(z, -500, 500)))
         gradient = np.append(np.bincount(columns, at[rows], len(names)) + ridge * w, at.sum() + (slope * plain).sum() / (1 + np.exp(-b)))
@@ -115,19 +144,19 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.encode(F.col(doc_id).cast("string"), "UTF-8")) % 4 == 2, F.lit(False))
 
 
-def told(positive: np.ndarray, negative: np.ndarray, n_positive: int, n_negative: int) -> np.ndarray:
-    """The likelihood-ratio statistic of each feature's presence."""
+def told(positive: Column, held: Column, n_positive: int, n: int) -> Column:
+    """The likelihood-ratio statistic, in nats, of a feature's presence: in ``held`` of n documents, ``positive`` toxic ones."""
 
-    def entropy(a: np.ndarray, n: np.ndarray) -> np.ndarray:
-        p = np.clip(a / n, 1e-12, 1 - 1e-12)
-        return -n * (p * np.log(p) + (1 - p) * np.log(1 - p))
+    def entropy(a: Column, n: Column) -> Column:
+        part = lambda x: F.when(x > 0, x * F.log(x / n)).otherwise(0.0)
+        return -(part(a) + part(n - a))
 
-    n, held = n_positive + n_negative, positive + negative
-    rest = np.maximum(n - held, 1e-9)
-    return entropy(np.array([n_positive]), np.array([n])) - entropy(positive, held) - entropy(np.maximum(n_positive - positive, 0), rest)
+    a, h, every = positive.cast("double"), held.cast("double"), n_positive / n
+    whole = -n * (every * math.log(every) + (1 - every) * math.log(1 - every))
+    return F.lit(whole) - entropy(a, h) - F.when(h < n, entropy(F.lit(float(n_positive)) - a, F.lit(float(n)) - h)).otherwise(0.0)
 
 
-def train(docs: DataFrame, labels: DataFrame, *, most_labelled: int = MOST_LABELLED, most_features: int = MOST_FEATURES) -> SentenceModel:
+def train(docs: DataFrame, labels: DataFrame, *, most_labelled: int = MOST_LABELLED, least_told: float = LEAST_TOLD) -> SentenceModel:
     """The model of the labelled documents that are not held out."""
     ids = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     ids = ids.where(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)
@@ -138,7 +167,7 @@ def train(docs: DataFrame, labels: DataFrame, *, most_labelled: int = MOST_LABEL
         seen: tuple[Counter, Counter] = (Counter(), Counter())
         for batch in batches:
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                words = set(WORDS((text or "").lower()))
+                words = {w for words in sentences(text or "") for w in words}
                 seen[toxic > 0].update({f for w in words for f in features(w)})
                 seen[toxic > 0][""] += 1
         names = list(seen[0].keys() | seen[1].keys())
@@ -148,18 +177,13 @@ def train(docs: DataFrame, labels: DataFrame, *, most_labelled: int = MOST_LABEL
             yield pa.RecordBatch.from_arrays(columns, names=["feature", "positive", "negative"])
 
     counts = sample.mapInArrow(count, "feature string, positive bigint, negative bigint").groupBy("feature")
-    counts = stored(counts.agg(F.sum("positive").alias("positive"), F.sum("negative").alias("negative")).where(f"feature = '' OR positive + negative >= {SUPPORT}"), "features")
+    counts = stored(counts.agg(F.sum("positive").alias("positive"), F.sum("negative").alias("negative")), "features")
     every = counts.where("feature = ''").collect()
     n_positive, n_negative = (every[0]["positive"], every[0]["negative"]) if every else (0, 0)
     if not n_positive or not n_negative:
         return constant(float(n_positive > 0))
-    share = n_positive / (n_positive + n_negative)
-    # a score that orders features as the statistic does, nearly, so that the driver ranks a bounded number
-    rough = F.abs(F.col("positive") - (F.col("positive") + F.col("negative")) * share) / F.sqrt(F.col("positive") + F.col("negative"))
-    best = counts.where("feature != ''").orderBy(rough.desc(), "feature").limit(4 * most_features).toPandas()
-    best["told"] = told(best.positive.to_numpy(float), best.negative.to_numpy(float), n_positive, n_negative)
-    best = best[best.told >= LEAST_TOLD].sort_values(["told", "feature"], ascending=[False, True])
-    names = sorted(best.feature[:most_features])
+    tells = told(F.col("positive"), F.col("positive") + F.col("negative"), n_positive, n_positive + n_negative)
+    names = [r[0] for r in counts.where("feature != ''").where(tells >= least_told).select("feature").orderBy("feature").collect()]
     numbers = docs.sparkSession.sparkContext.broadcast({x: i for i, x in enumerate(names)})
 
     def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +191,7 @@ def train(docs: DataFrame, labels: DataFrame, *, most_labelled: int = MOST_LABEL
         for batch in batches:
             plain, lengths, flat = [], [], []
             for text in batch.column("text").to_pylist():
-                found = [[i for w in set(words) for f in features(w) if (i := get(f)) is not None] for _, words in sentences(text or "")]
+                found = [[i for w in set(words) for f in features(w) if (i := get(f)) is not None] for words in sentences(text or "")]
                 lengths.append([len(x) for x in found if x])
                 flat.append([i for x in found for i in x])
                 plain.append(len(found) - len(lengths[-1]))

@@ -68,3 +68,49 @@ def test_clean_keeps_rows(docs, labels):
     gone = {i for i in range(800)} - {r.doc_id for r in left.collect()}
     assert gone and sum(toxic[i] for i in gone) >= 0.95 * len(gone)
     assert tx.toxicity(docs(), labels()).count() == 0
+
+
+def test_scores_against_a_plain_reading():
+    """Sentences, distinct words and their features, one after the other."""
+    import math
+    import re
+
+    chosen = random.Random(4)
+    weights = {"vile": 5.0, "rot*": 2.0, "rotten": 1.0, "été": -3.0, "calm": -2.0}
+    model = tx.SentenceModel(-3.0, weights)
+    words = ["vile", "rotten", "rotting", "calm", "Été", "plain", "x1y", "VILE", "", ".", "...", "!?", "\n", "İx", " "]
+    for _ in range(400):
+        text = " ".join(chosen.choice(words) for _ in range(chosen.randrange(30)))
+        clean, found = 1.0, []
+        for m in re.finditer(r"[^.!?\n]+", text):
+            own = set(re.findall(r"[^\W\d_]+", m[0].lower()))
+            if own:
+                z = -3.0 + sum(weights.get(f, 0.0) for w in own for f in tx.features(w))
+                found.append((m.start(), 1 / (1 + math.exp(-z))))
+                clean *= 1 - found[-1][1]
+        score, n, offending, start, worst = model.score(text)
+        assert math.isclose(score, 1 - clean, abs_tol=1e-9) and n == len(found) and offending == sum(p >= 0.3 for _, p in found)
+        if found:
+            at, p = max(found, key=lambda x: x[1])
+            assert start == at and math.isclose(worst, p, rel_tol=1e-9)
+        else:
+            assert start is None and worst is None
+
+
+def test_the_statistic_in_columns(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    rows = [(0, 5), (5, 0), (3, 40), (40, 60), (40, 0), (0, 60), (1, 1)]
+    found = [r[0] for r in spark.createDataFrame(rows, "p bigint, n bigint").select(tx.told(F.col("p"), F.col("p") + F.col("n"), 40, 100)).collect()]
+
+    def entropy(a, n):
+        return -sum(x * np.log(x / n) for x in (a, n - a) if x > 0)
+
+    assert np.allclose(found, [entropy(40, 100) - entropy(p, p + n) - entropy(40 - p, 100 - p - n) for p, n in rows])
+
+
+def test_very_long_labelled_text(docs, labels):
+    texts, toxic = corpus(200)
+    df = docs(*enumerate(texts), (1_000, "w1 w2. " * 100_000), (1_001, None))
+    assert tx.train(df, labels(*enumerate(toxic), (1_000, 0), (1_001, 1))).weights
