@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from tessera.functions.matcher import Encodable, Node, classify, scalar_class
 
-#: Longer lists become a semi join with a table of their values.
+#: Longer lists on columns of texts or whole numbers become a semi join with a table of their values.
 LONG_LIST = 200
 
 
@@ -43,6 +43,7 @@ class TypedField:
     def __init__(self, column: Column, kind: T.DataType, null_as: str) -> None:
         self.column, self.null_as = column, null_as
         self.floating = isinstance(kind, T.FloatType | T.DoubleType)
+        self.listable = isinstance(kind, T.IntegralType | T.StringType)
         self.cls = "number" if isinstance(kind, T.NumericType) else "string" if isinstance(kind, T.StringType) else "boolean" if isinstance(kind, T.BooleanType) else "other"
 
     def present(self) -> Column:
@@ -206,8 +207,9 @@ def matching(df: DataFrame, filter: object, **settings) -> DataFrame:
     if isinstance(found, Encodable) and found.node.op == "in" and len(found.node.value) > LONG_LIST and "fields" not in settings:
         node = found.node
         field = typed(df, settings.get("null_as", "absent"))(node.field)
-        if isinstance(field, TypedField) and field.cls in ("string", "number") and not field.floating and None not in node.value:
-            own = sorted({x for x in node.value if scalar_class(x) == field.cls and (field.cls == "string" or x == int(x))})
+        if isinstance(field, TypedField) and field.listable and None not in node.value:
+            # a whole number equals no other number
+            own = sorted({x for x in node.value if scalar_class(x) == field.cls and (field.cls == "string" or -(2**63) <= x < 2**63 and x == int(x))})
             values = df.sparkSession.createDataFrame([(x if field.cls == "string" else int(x),) for x in own], f"listed {'string' if field.cls == 'string' else 'bigint'}")
             return df.join(F.broadcast(values), F.col(f"`{node.field}`") == F.col("listed"), "left_semi")  # at most MAX_LIST values
     return df.where(matches(df, filter, **settings))

@@ -74,3 +74,12 @@ def test_opaque(spark):
 def test_columns_with_odd_names(spark):
     df = spark.createDataFrame([(1, 2)], "`a.b` long, `c``d` long")
     assert df.where(compile_node(M.and_(M.eq("a.b", 1), M.eq("c`d", 2)), typed(df))).count() == 1
+
+
+def test_long_lists_on_any_column(spark):
+    """Longer lists than LONG_LIST find what short ones do."""
+    values = [i / 2 for i in range(-50, 250)] + [float(2**70)]
+    df = spark.range(200).selectExpr("id", "cast(id / 2 as decimal(12, 2)) AS d", "cast(id as double) / 2 AS f", "cast(id as int) AS i", "cast(id as string) AS s")
+    for column, expected in (("d", 200), ("f", 200), ("i", 125), ("id", 125)):
+        assert matching(df, M.in_(column, values)).count() == matching(df, M.and_(M.in_(column, values))).count() == expected
+    assert matching(df, M.in_("s", [str(i) for i in range(500)])).count() == 200
