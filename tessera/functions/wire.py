@@ -8,12 +8,18 @@ from pyspark.sql import functions as F
 INITIAL_MS, MOST_MS = 1_000, 60_000
 
 
+#: (least status, greatest, class), the first that fits; what is not known is worth a retry.
+STATUSES = ((200, 299, "verdict"), (409, 409, "schema"), (408, 408, "transient"), (429, 429, "transient"), (400, 499, "permanent"))
+
+
 def status_class(status: Column) -> Column:
-    """'verdict', 'schema', 'transient' or 'permanent'; what is not known is worth a retry."""
-    return (
-        F.when((status >= 200) & (status < 300), "verdict").when(status == 409, "schema").when(status.isin(408, 429), "transient")
-        .when((status >= 400) & (status < 500), "permanent").otherwise("transient")
-    )
+    """'verdict', 'schema', 'transient' or 'permanent'."""
+    return F.coalesce(*(F.when(status.between(low, high), name) for low, high, name in STATUSES), F.lit("transient"))
+
+
+def class_of(status: int) -> str:
+    """The same for one status."""
+    return next((name for low, high, name in STATUSES if low <= status <= high), "transient")
 
 
 def raises(outcome: Column) -> Column:

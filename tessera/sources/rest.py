@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import json
+import urllib.error
 import urllib.request
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame
 
+from tessera.functions.wire import class_of
+
+# Where a server takes requests.
+PULL, PUSH = "/sync/v1/pull", "/sync/v1/push"
+
 Transport = Callable[[str, Mapping[str, str], bytes], tuple[int, bytes]]
 
 
@@ -19,18 +25,17 @@ class WireError(RuntimeError):
         self.outcome = outcome
 
 
-def outcome(status: int) -> str:
-    if 200 <= status < 300:
-        return "verdict"
-    if status == 409:
-        return "schema"
-    return "permanent" if 400 <= status < 500 and status not in (408, 429) else "transient"
-
-
 def http(url: str, headers: Mapping[str, str], body: bytes) -> tuple[int, bytes]:
-    request = urllib.request.Request(url, body, {"content-type": "application/json", **headers}, method="POST")
-    with urllib.request.urlopen(request, timeout=30) as answer:
-        return answer.status, answer.read()
+    """Status and body of any answer; no answer is a transient failure."""
+    request = urllib.request.Request(url, body, dict(headers), method="POST")
+    try:
+        with urllib.request.urlopen(request, timeout=30) as answer:
+            return answer.status, answer.read()
+    except urllib.error.HTTPError as error:
+        with error:
+            return error.code, error.read()
+    except OSError as error:  # refused, unreachable, cut off, timed out
+        raise WireError("transient", f"no answer from {url}: {error}") from error
 
 
 def _need(good: bool, what: str) -> None:
@@ -38,8 +43,12 @@ def _need(good: bool, what: str) -> None:
         raise WireError("transient", f"malformed answer: {what}")
 
 
+def _is_version(value: object) -> bool:
+    return isinstance(value, str | int | float) and not isinstance(value, bool)
+
+
 def checked_page(page: object) -> dict:
-    """A pull page: changes with type, entityType, id and version; a cursor; complete."""
+    """A pull page: changes with type, entityType, id and version; a cursor; complete. Further fields pass."""
     _need(isinstance(page, dict), "no object")
     _need(page.get("type") in ("changes", "reset"), "type")
     if page["type"] == "reset":
@@ -48,43 +57,55 @@ def checked_page(page: object) -> dict:
     _need(isinstance(page.get("changes"), list), "changes")
     for change in page["changes"]:
         _need(isinstance(change, dict) and change.get("type") in ("set", "remove"), "change")
-        _need(all(isinstance(change.get(k), str) and change[k] for k in ("entityType", "id")), "key of a change")
-        _need(isinstance(change.get("version"), str | int | float) and not isinstance(change["version"], bool), "version of a change")
+        _need(all(isinstance(change.get(k), str) for k in ("entityType", "id")), "key of a change")
+        _need(_is_version(change.get("version")), "version of a change")
         _need(change["type"] == "remove" or isinstance(change.get("data"), dict), "data of a set")
     _need(isinstance(page.get("cursor"), str) and isinstance(page.get("complete"), bool), "cursor or complete")
     marks = page.get("confirmedMutations", {})
-    _need(isinstance(marks, dict) and all(type(v) is int for v in marks.values()), "confirmedMutations")
+    _need(isinstance(marks, dict) and all(isinstance(v, int | float) and not isinstance(v, bool) for v in marks.values()), "confirmedMutations")
     return page
 
 
-def checked_verdicts(answer: object, asked: Sequence[str]) -> list[dict]:
-    """Verdicts on exactly the mutations that were asked about."""
-    _need(isinstance(answer, dict) and isinstance(answer.get("verdicts"), list), "verdicts")
-    for verdict in answer["verdicts"]:
-        _need(isinstance(verdict, dict) and verdict.get("mutationId") in asked, "mutationId")
+def checked_verdicts(answer: object) -> list[dict]:
+    """The verdicts of an answer to a push. One on a mutation that wasn't asked about is the caller's to leave out."""
+    _need(isinstance(answer, dict) and isinstance(answer.get("results"), list), "results")
+    for verdict in answer["results"]:
+        _need(isinstance(verdict, dict) and isinstance(verdict.get("mutationId"), str), "mutationId")
         _need(verdict.get("status") in ("ack", "reject", "transform"), "status")
-        _need(verdict["status"] != "transform" or isinstance(verdict.get("data"), dict), "data of a transform")
-    return answer["verdicts"]
+        _need("version" not in verdict or _is_version(verdict["version"]), "version of a verdict")
+        _need("data" not in verdict or isinstance(verdict["data"], dict), "data of a verdict")
+        _need("remappedId" not in verdict or isinstance(verdict["remappedId"], str) and verdict["remappedId"] != "", "remappedId")
+    return answer["results"]
 
 
 class RestAdapter:
-    def __init__(self, url: str, *, headers: Mapping[str, str] | None = None, transport: Transport = http) -> None:
-        self.url, self.headers, self.transport = url.rstrip("/"), dict(headers or {}), transport
+    """``headers`` may be a function, asked for each request; names in any case replace the adapter's own."""
+
+    def __init__(
+        self, url: str, *, headers: Mapping[str, str] | Callable[[], Mapping[str, str]] | None = None, transport: Transport = http,
+        schema_version: str | None = None, limit: int | None = None,
+    ) -> None:
+        self.url, self.headers, self.transport, self.schema_version, self.limit = url.removesuffix("/"), headers or {}, transport, schema_version, limit
 
     def _post(self, path: str, body: dict) -> object:
-        status, answer = self.transport(f"{self.url}/{path}", self.headers, json.dumps(body).encode())
-        if (kind := outcome(status)) != "verdict":
-            raise WireError(kind, f"status {status}")
+        own = self.headers() if callable(self.headers) else self.headers
+        headers = {"content-type": "application/json"} | {k.lower(): v for k, v in own.items()}
+        if self.schema_version is not None:
+            body = {**body, "schemaVersion": self.schema_version}
+        status, answer = self.transport(self.url + path, headers, json.dumps(body).encode())
+        if (kind := class_of(status)) != "verdict":
+            raise WireError(kind, f"status {status} from {path}")
         try:
             return json.loads(answer)
         except ValueError as error:
-            raise WireError("transient", "malformed answer: no JSON") from error
+            raise WireError("transient", f"malformed answer from {path}: no JSON") from error
 
     def pull(self, cursor: str | None, subscription: str | None = None) -> dict:
-        return checked_page(self._post("pull", {"cursor": cursor, **({"subscription": subscription} if subscription else {})}))
+        asked = {"cursor": cursor, "limit": self.limit, "subscription": subscription}
+        return checked_page(self._post(PULL, {k: v for k, v in asked.items() if v is not None or k == "cursor"}))
 
     def push(self, batch: Sequence[dict]) -> list[dict]:
-        return checked_verdicts(self._post("push", {"mutations": list(batch)}), [x["mutationId"] for x in batch])
+        return checked_verdicts(self._post(PUSH, {"changes": list(batch)}))
 
 
 def push_sink(adapter: RestAdapter, order: str = "client_seq", most: int = 1_000) -> Callable[[DataFrame, int], None]:
@@ -93,7 +114,8 @@ def push_sink(adapter: RestAdapter, order: str = "client_seq", most: int = 1_000
     def sink(batch: DataFrame, _: int) -> None:
         held: list[dict] = []
         for row in batch.orderBy(order).select("mutation_id", "client_id", order, "op", "entity_type", "id", "data").toLocalIterator():
-            held.append({"mutationId": row[0], "clientId": row[1], "seq": row[2], "op": row[3], "entityType": row[4], "id": row[5], "data": json.loads(row[6]) if row[6] else None})
+            own = {"mutationId": row[0], "clientId": row[1], "seq": row[2], "op": row[3], "entityType": row[4], "id": row[5]}
+            held.append(own | {"data": json.loads(row[6])} if row[6] else own)
             if len(held) == most:
                 adapter.push(held)
                 held = []

@@ -108,17 +108,71 @@ def test_adapter_and_sink(spark):
     asked, status = [], [200]
 
     def transport(url, headers, body):
-        asked.append((url, json.loads(body)))
-        found = PAGE if url.endswith("pull") else {"verdicts": [{"mutationId": m["mutationId"], "status": "ack", "version": 1} for m in asked[-1][1]["mutations"]]}
+        asked.append((url, json.loads(body), headers))
+        found = PAGE if url.endswith("pull") else {"results": [{"mutationId": m["mutationId"], "status": "ack", "version": 1} for m in asked[-1][1]["changes"]]}
         return status[0], json.dumps(found).encode()
 
-    adapter = RestAdapter("http://x/", transport=transport)
-    assert adapter.pull(None, "s") == PAGE and asked[-1] == ("http://x/pull", {"cursor": None, "subscription": "s"})
-    batch = spark.createDataFrame([(f"m{i}", "c", i, "set", "t", str(i), '{"a":1}') for i in range(5)], f"mutation_id string, client_id string, client_seq int, op string, {KEYED}, data string")
+    adapter = RestAdapter("http://x/", transport=transport, headers={"Authorization": "a", "Content-Type": "application/x"})
+    assert adapter.pull(None, "s") == PAGE and asked[-1][:2] == ("http://x/sync/v1/pull", {"cursor": None, "subscription": "s"})
+    assert asked[-1][2] == {"authorization": "a", "content-type": "application/x"}
+    batch = spark.createDataFrame([(f"m{i}", "c", i, "set", "t", str(i), '{"a":1}') for i in range(4)] + [("m4", "c", 4, "remove", "t", "4", None)], f"mutation_id string, client_id string, client_seq int, op string, {KEYED}, data string")
     push_sink(adapter, most=2)(batch, 0)
-    assert [[m["seq"] for m in body["mutations"]] for _, body in asked[1:]] == [[0, 1], [2, 3], [4]]
+    assert [[m["seq"] for m in body["changes"]] for _, body, _ in asked[1:]] == [[0, 1], [2, 3], [4]] and "data" not in asked[-1][1]["changes"][0]
+    tokens = iter("ab")
+    versioned = RestAdapter("http://x", transport=transport, headers=lambda: {"Authorization": next(tokens)}, schema_version="7", limit=50)
+    versioned.pull("c1")
+    assert asked[-1][1:] == ({"cursor": "c1", "limit": 50, "schemaVersion": "7"}, {"content-type": "application/json", "authorization": "a"})
+    versioned.push([])
+    assert asked[-1][1:] == ({"changes": [], "schemaVersion": "7"}, {"content-type": "application/json", "authorization": "b"})
     for code, kind in ((409, "schema"), (404, "permanent"), (429, "transient"), (503, "transient")):
         status[0] = code
         with pytest.raises(WireError) as error:
             adapter.pull("c")
         assert error.value.outcome == kind
+        assert wire.class_of(code) == kind
+
+
+def test_a_real_server():
+    """Statuses and bodies over HTTP, and no answer at all."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    answers, seen = [], []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            seen.append((self.path, json.loads(self.rfile.read(int(self.headers["content-length"])))))
+            code, body = answers.pop(0)
+            self.send_response(code)
+            self.send_header("content-length", str(len(body)))
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    adapter = RestAdapter(f"http://127.0.0.1:{server.server_port}")
+    try:
+        answers += [(200, json.dumps(PAGE).encode()), (409, b"{}"), (503, b"busy"), (401, b""), (200, b"<html>")]
+        assert adapter.pull(None) == PAGE and seen == [("/sync/v1/pull", {"cursor": None})]
+        for kind in ("schema", "transient", "permanent", "transient"):
+            with pytest.raises(WireError) as error:
+                adapter.push([{"mutationId": "m"}])
+            assert error.value.outcome == kind
+        assert seen[-1] == ("/sync/v1/push", {"changes": [{"mutationId": "m"}]})
+    finally:
+        server.shutdown()
+        server.server_close()
+    with pytest.raises(WireError) as error:
+        adapter.pull("c")
+    assert error.value.outcome == "transient"
+
+
+@pytest.mark.parametrize("broken", [{}, {"results": [{"status": "ack"}]}, {"results": [{"mutationId": "m", "status": "maybe"}]}, {"results": [{"mutationId": "m", "status": "ack", "version": None}]}, {"results": [{"mutationId": "m", "status": "transform", "data": []}]}, {"results": [{"mutationId": "m", "status": "transform", "remappedId": ""}]}])
+def test_malformed_verdicts_are_refused(broken):
+    from tessera.sources.rest import checked_verdicts
+
+    with pytest.raises(WireError):
+        checked_verdicts(broken)
