@@ -6,7 +6,8 @@ the entity from the projection only. In typed rows a NULL field is one that the
 
 Typed folds are two aggregations with map-side partial results (where the last reset of a key is, and each field's
 last value since), so that a key with a third of all rows costs one row a task in the shuffle. Document folds combine
-pieces of a key's log first, since merging is associative.
+pieces of a key's log first, since merging is associative. Images carry what earlier pieces of a key's log come to into
+each piece, so that a window never holds more than a piece of it.
 """
 
 from __future__ import annotations
@@ -15,10 +16,15 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tessera.sources.scratch import stored
 
 KEY = ("entity_type", "id")
 #: Writes of a key that are combined in one piece.
 PIECE = 4_096
+#: Sequence numbers of a piece whose images one task makes.
+IMAGE_PIECE = 1 << 18
 
 
 def key_text(entity_type: str = "entity_type", id: str = "id") -> Column:
@@ -70,14 +76,37 @@ def durable_fold(log: DataFrame, fields: Sequence[str], key: Sequence[str] = KEY
 
 
 def images(log: DataFrame, fields: Sequence[str], key: Sequence[str] = KEY) -> DataFrame:
-    """Each change with the entity after it (``now_*``, ``exists``) and before it (``prev_*``, ``existed``)."""
-    in_order = Window.partitionBy(*key).orderBy("seq")
+    """Each change with the entity after it (``now_*``, ``exists``) and before it (``prev_*``, ``existed``).
+
+    Two levels where ``seq`` is a whole number: what each piece of a key's log comes to is summed up first and carried
+    into the next ones; rows are only ranked within a piece.
+    """
+    whole = isinstance(log.schema["seq"].dataType, T.IntegralType)
+    piece = [*key, "image_piece"]
+    log = log.withColumn("image_piece", F.floor(F.col("seq") / IMAGE_PIECE) if whole else F.lit(0).cast("long"))
+
+    reset = F.max(F.when(_resets(), F.col("seq"))).alias("reset")
+    last = [F.max(F.when(_writes() & F.col(f).isNotNull(), F.struct("seq", F.col(f).alias("x")))).alias(f) for f in fields]
+    sums = log.groupBy(*piece).agg(reset, F.max_by("op", "seq").alias("ended"), *last)
+    # what a piece says of a field: its last value since the last reset, NULL after a reset without one, or nothing
+    since = lambda f: F.when(F.col("reset").isNull() | (F.col(f"{f}.seq") >= F.col("reset")), F.col(f"{f}.x"))
+    said = [F.when(F.col("reset").isNotNull() | F.col(f).isNotNull(), F.struct(since(f).alias("x"))).alias(f) for f in fields]
+    earlier = Window.partitionBy(*key).orderBy("image_piece").rowsBetween(Window.unboundedPreceding, -1)
+    alive = F.coalesce(F.last("ended").over(earlier).isin("set", "replace"), F.lit(False))
+    told = sums.select(*piece, "ended", *said)
+    carried = told.select(*piece, alive.alias("alive"), *(F.last(f, ignorenulls=True).over(earlier)["x"].alias(f"carried_{f}") for f in fields))
+
+    in_order = Window.partitionBy(*piece).orderBy("seq")
     epoch = F.sum(_resets().cast("int")).over(in_order.rowsBetween(Window.unboundedPreceding, 0))
-    life = Window.partitionBy(*key, "epoch").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    now = log.withColumn("epoch", F.coalesce(epoch, F.lit(0))).withColumn("exists", _writes())
-    now = now.withColumns({f"now_{f}": F.when(F.col("exists"), F.last(F.when(_writes(), F.col(f)), ignorenulls=True).over(life)) for f in fields})
-    before = {f"prev_{f}": F.lag(f"now_{f}").over(in_order) for f in fields}
-    return now.withColumns({**before, "existed": F.coalesce(F.lag("exists").over(in_order), F.lit(False))}).drop("epoch")
+    life = Window.partitionBy(*piece, "epoch").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    now = log.join(carried, piece).withColumn("epoch", epoch).withColumn("exists", _writes())
+    own = lambda f: F.last(F.when(_writes(), F.col(f)), ignorenulls=True).over(life)
+    before = lambda f: F.when(F.col("alive") & (F.col("epoch") == 0), F.col(f"carried_{f}"))
+    now = now.withColumns({f"now_{f}": F.when(F.col("exists"), F.coalesce(own(f), before(f))) for f in fields})
+    first = F.lag("exists").over(in_order).isNull()
+    prev = {f"prev_{f}": F.when(first, F.when(F.col("alive"), F.col(f"carried_{f}"))).otherwise(F.lag(f"now_{f}").over(in_order)) for f in fields}
+    made = now.withColumns({**prev, "existed": F.coalesce(F.lag("exists").over(in_order), F.col("alive"))})
+    return made.drop("epoch", "image_piece", "alive", *(f"carried_{f}" for f in fields))
 
 
 def _strictly_differs(a: Column, b: Column, floating: bool) -> Column:
@@ -108,8 +137,6 @@ def fold_documents(log: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     A piece of a key's log becomes (whether it resets, fields or NULL for none); two pieces combine to the later one
     if it resets, else to the merge of both.
     """
-    spark = log.sparkSession
-    spark.conf.set("spark.sql.mapKeyDedupPolicy", "LAST_WIN")
     step = log.select(
         *key, "seq", F.floor(F.col("seq") / PIECE).alias("piece"), _resets().alias("resets"),
         F.when(_writes(), F.expr("cast(data AS map<string, variant>)")).alias("fields"),
@@ -120,7 +147,7 @@ def fold_documents(log: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
         (a, e) -> CASE WHEN e.resets THEN named_struct('resets', true, 'fields', e.fields)
                        WHEN e.fields IS NULL THEN a
                        WHEN a.fields IS NULL THEN named_struct('resets', a.resets, 'fields', e.fields)
-                       ELSE named_struct('resets', a.resets, 'fields', map_concat(a.fields, e.fields)) END)"""
+                       ELSE named_struct('resets', a.resets, 'fields', map_concat(map_filter(a.fields, (k, v) -> NOT map_contains_key(e.fields, k)), e.fields)) END)"""
     pieces = step.groupBy(*key, "piece").agg(F.expr(folded.format(at="seq")).alias("f")).select(*key, "piece", "f.resets", "f.fields")
     whole = pieces.groupBy(*key).agg(F.expr(folded.format(at="piece")).alias("f"))
     return whole.where("f.fields IS NOT NULL").select(*key, F.expr("to_variant_object(f.fields)").alias("data"))
@@ -133,8 +160,17 @@ def update(entities: DataFrame, changes: dict[str, Column], key: Sequence[str] =
 
 def clear(entities: DataFrame, seq: int, key: Sequence[str] = KEY) -> DataFrame:
     """``remove`` ops for exactly the given snapshot, in one block of sequence numbers from ``seq`` on."""
-    order = Window.orderBy(*key)
-    return entities.select(F.lit(seq) + F.row_number().over(order) - 1, F.lit("remove"), *key).toDF("seq", "op", *key)
+    ranged = entities.select(*key).repartitionByRange(*key).withColumn("piece", F.spark_partition_id())
+    numbered = stored(ranged, "cleared")  # a table, so that rows keep their pieces
+    place = F.row_number().over(Window.partitionBy("piece").orderBy(*key)) - 1
+    return numbered.join(offsets(numbered, "piece"), "piece").select((F.lit(seq) + F.col("before") + place).alias("seq"), F.lit("remove").alias("op"), *key)
+
+
+def offsets(rows: DataFrame, piece: str, *by: str, takes: Column | None = None) -> DataFrame:
+    """For each piece (within ``by``) how many rows earlier pieces hold: (by, piece, before)."""
+    sums = rows.groupBy(*by, piece).agg(F.sum(F.lit(1) if takes is None else takes).cast("long").alias("held"))
+    earlier = Window.partitionBy(*by).orderBy(piece).rowsBetween(Window.unboundedPreceding, -1)
+    return sums.select(*by, piece, F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("before"))
 
 
 def stamped(rows: DataFrame, origin: str | None = None, tx_id: str | None = None) -> DataFrame:

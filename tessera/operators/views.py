@@ -6,8 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.operators.changes import KEY
+from tessera.operators.changes import IMAGE_PIECE, KEY, offsets
 from tessera.plans.compile import matches
 
 
@@ -52,5 +53,10 @@ def retentions(found: DataFrame, holder: str, key: Sequence[str] = KEY) -> DataF
 
 
 def version_ticks(events: DataFrame, order: Column | str = "seq") -> DataFrame:
-    """Each event with the monotonic version it raises its type to."""
-    return events.withColumn("version_tick", F.row_number().over(Window.partitionBy("entity_type").orderBy(order)).cast("long"))
+    """Each event with the monotonic version it raises its type to; by ``seq`` pieces of a type's events are counted first."""
+    if order != "seq" or not isinstance(events.schema["seq"].dataType, T.IntegralType):
+        return events.withColumn("version_tick", F.row_number().over(Window.partitionBy("entity_type").orderBy(order)).cast("long"))
+    pieces = events.withColumn("tick_piece", F.floor(F.col("seq") / IMAGE_PIECE))
+    within = F.row_number().over(Window.partitionBy("entity_type", "tick_piece").orderBy("seq"))
+    counted = pieces.join(offsets(pieces, "tick_piece", "entity_type"), ["entity_type", "tick_piece"])
+    return counted.withColumn("version_tick", (F.col("before") + within).cast("long")).drop("tick_piece", "before")

@@ -174,3 +174,30 @@ def test_keys(spark):
 def test_stamps_shadow(spark):
     df = changes.stamped(changes.stamped(spark.range(1), "undo", "tx-1"), "agent")
     assert tuple(df.select("origin", "tx_id").first()) == ("agent", None)
+
+
+@pytest.mark.parametrize("piece", [1, 7, 50])
+def test_images_in_pieces(log, oracle, monkeypatch, piece):
+    monkeypatch.setattr(changes, "IMAGE_PIECE", piece)
+    monkeypatch.setattr(views, "IMAGE_PIECE", piece)
+    imaged = changes.images(log, FIELDS)
+    assert sorted(imaged.columns) == sorted([*log.columns, "exists", "existed", *(f"{w}_{f}" for w in ("now", "prev") for f in FIELDS)])
+    events = changes.emitted(imaged, FIELDS)
+    found = {r.seq: (r.op, shown({f: r[f"prev_{f}"] for f in FIELDS}), shown({f: r[f"now_{f}"] for f in FIELDS}), r.existed) for r in events.collect()}
+    assert found == {s: (o, shown(old), shown(new), old is not None) for s, o, _, _, old, new in oracle.events}
+    ticks, expected = {}, {}
+    for s, _, k, *_ in oracle.events:
+        ticks[k] = expected[s] = ticks.get(k, 0) + 1
+    assert {r.seq: r.version_tick for r in views.version_ticks(events).collect()} == expected
+
+
+def test_clear_numbers_in_the_order_of_keys(spark):
+    keys = [("t" if i % 3 else "s", f"k{i:03}") for i in range(200)]
+    found = changes.clear(spark.createDataFrame(keys, "entity_type string, id string").repartition(5), 1_000).collect()
+    assert [(r.seq, r.op, r.entity_type, r.id) for r in sorted(found, key=lambda r: r.seq)] == [(1_000 + n, "remove", *k) for n, k in enumerate(sorted(keys))]
+
+
+def test_folds_leave_the_session_as_it_is(spark, log):
+    before = spark.conf.get("spark.sql.mapKeyDedupPolicy")
+    changes.fold_documents(log.select("seq", "op", "entity_type", "id", F.parse_json(F.to_json(F.struct("a", "b"))).alias("data"))).count()
+    assert spark.conf.get("spark.sql.mapKeyDedupPolicy") == before
