@@ -6,9 +6,11 @@ A transaction without a row there is open.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+import weakref
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.changes import KEY, fold
@@ -82,16 +84,67 @@ def affected(tx_log: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     return tx_log.select("tx_id", *key).distinct()
 
 
+class PolicyVeto(ValueError):
+    """A gate has refused a write ('apply') or a whole transaction ('commit')."""
+
+    def __init__(self, phase: str, tx_id: str, reason: str) -> None:
+        super().__init__(f"{tx_id}: vetoed at {phase}: {reason}")
+        self.phase, self.tx_id, self.reason = phase, tx_id, reason
+
+
+#: A gate for one write (op, entity type, id, data) or for a transaction's net changes: exactly True lets it through.
+Gate = Callable[[object], object]
+
+
 class Transactions:
-    """Builds a log: ``begin`` a transaction, ``set`` and ``remove`` in it, settle it once. One handle for each store."""
+    """Builds a log: ``begin`` a transaction, ``set`` and ``remove`` in it, settle it once. One handle for each store.
 
-    _handles: dict[int, Transactions] = {}
+    ``will_apply`` gates see each write before it takes place, ``will_commit`` gates the net changes of a transaction,
+    {(entity type, id): merged data, or None for a removal}. A vetoed write leaves no trace; a vetoed commit settles as
+    a rollback. A store that takes part (``tx_write`` and ``tx_settled``) gets writes and outcomes as they come;
+    listeners are told after it.
+    """
+
+    _handles: weakref.WeakKeyDictionary[object, Transactions] = weakref.WeakKeyDictionary()
+    #: Of stores that nothing can refer to weakly; kept with them, so that no other store gets their number.
+    _fixed: dict[int, tuple[object, Transactions]] = {}
 
     def __new__(cls, store: object) -> Transactions:
-        if id(store) not in cls._handles:
-            self = cls._handles[id(store)] = super().__new__(cls)
-            self.store, self.writes, self.outcomes, self.count, self.seq, self.listeners = store, [], {}, 0, 0, []
-        return cls._handles[id(store)]
+        weak = type(store).__weakrefoffset__ != 0
+        found = cls._handles.get(store) if weak else cls._fixed.get(id(store), (None, None))[1]
+        if found is None:
+            found = super().__new__(cls)
+            found.store = weakref.ref(store) if weak else lambda: store
+            found.writes, found.outcomes, found.count, found.seq, found.listeners = [], {}, 0, 0, []
+            found.will_apply, found.will_commit = [], []
+            if weak:
+                cls._handles[store] = found
+            else:
+                cls._fixed[id(store)] = (store, found)
+        return found
+
+    def use_gate(self, will_apply: Gate | None = None, will_commit: Gate | None = None) -> Callable[[], None]:
+        """Adds gates; the function that is returned takes them away."""
+        pairs = [(gates, gate) for gates, gate in ((self.will_apply, will_apply), (self.will_commit, will_commit)) if gate is not None]
+        for gates, gate in pairs:
+            gates.append(gate)
+
+        def remove() -> None:
+            for gates, gate in pairs:
+                if gate in gates:
+                    gates.remove(gate)
+
+        return remove
+
+    @staticmethod
+    def _ask(gates: Sequence[Gate], phase: str, tx_id: str, proposed: object) -> None:
+        for gate in list(gates):
+            try:
+                verdict = gate(proposed)
+            except Exception as error:  # a gate that fails doesn't let through
+                verdict = str(error)
+            if verdict is not True:
+                raise PolicyVeto(phase, tx_id, verdict if isinstance(verdict, str) else "refused")
 
     def begin(self) -> str:
         self.count += 1
@@ -100,8 +153,11 @@ class Transactions:
     def _write(self, tx_id: str, op: str, entity_type: str, id: str, data: dict | None) -> None:
         if tx_id in self.outcomes:
             raise ValueError(f"{tx_id} is settled")
+        self._ask(self.will_apply, "apply", tx_id, (op, entity_type, id, None if data is None else dict(data)))
         self.seq += 1
         self.writes.append((tx_id, self.seq, op, entity_type, id, data))
+        if (write := getattr(self.store(), "tx_write", None)) is not None:
+            write(tx_id, op, entity_type, id, data)
 
     def set(self, tx_id: str, entity_type: str, id: str, data: dict) -> None:
         self._write(tx_id, "set", entity_type, id, data)
@@ -109,15 +165,31 @@ class Transactions:
     def remove(self, tx_id: str, entity_type: str, id: str) -> None:
         self._write(tx_id, "remove", entity_type, id, None)
 
+    def net(self, tx_id: str) -> dict[tuple[str, str], dict | None]:
+        """What a transaction comes to: merged data since a removal, or None."""
+        found: dict[tuple[str, str], dict | None] = {}
+        for own, _, op, kind, id, data in self.writes:
+            if own == tx_id:
+                found[kind, id] = None if op == "remove" else {**(found.get((kind, id)) or {}), **data}
+        return found
+
     def _settle(self, tx_id: str, outcome: str) -> None:
         if tx_id in self.outcomes:
             raise ValueError(f"{tx_id} is settled")
         self.seq += 1
         self.outcomes[tx_id] = (outcome, self.seq)
+        if (settled := getattr(self.store(), "tx_settled", None)) is not None:
+            settled(tx_id, outcome)
         for listener in self.listeners:
             listener(tx_id, outcome)
 
     def commit(self, tx_id: str) -> None:
+        if tx_id not in self.outcomes and self.will_commit:
+            try:
+                self._ask(self.will_commit, "commit", tx_id, self.net(tx_id))
+            except PolicyVeto:
+                self._settle(tx_id, "rollback")
+                raise
         self._settle(tx_id, "commit")
 
     def rollback(self, tx_id: str) -> None:
@@ -137,3 +209,9 @@ class Transactions:
 
     def on_settled(self, listener) -> None:
         self.listeners.append(listener)
+
+    def tables(self, spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+        """The log (tx_id, seq, op, key, data text) and the outcomes (tx_id, outcome, settle_seq)."""
+        log = [(t, s, o, k, i, None if d is None else json.dumps(d)) for t, s, o, k, i, d in self.writes]
+        done = [(t, o, s) for t, (o, s) in self.outcomes.items()]
+        return spark.createDataFrame(log, "tx_id string, seq bigint, op string, entity_type string, id string, data string"), spark.createDataFrame(done, "tx_id string, outcome string, settle_seq bigint")

@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one is set only where none is configured."""
+    """The shared folder of the session. Only where driver and executors are one machine is a temporary one set instead."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = current.get() if current.isDefined() else None
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not root:
         root = tempfile.mkdtemp(prefix="tessera-")
         spark.sparkContext.setCheckpointDir(root)
@@ -39,6 +41,16 @@ def hadoop_path(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file's content, read by the driver."""
+    fs, p = hadoop_path(spark, path)
+    stream = fs.open(p)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def commit_file(spark: SparkSession, path: str, text: str) -> None:
     """Makes a file with all its content appear at once, once: FileExistsError if there is one.
 

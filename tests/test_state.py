@@ -235,3 +235,159 @@ def test_handle():
     with pytest.raises(ValueError, match="not enough|unpack"):
         tx.apply([("set", "t")])
     assert told == [("tx-1", "commit"), ("tx-2", "commit"), ("tx-3", "rollback")]
+
+
+def test_gates():
+    class Store:
+        pass
+
+    store = Store()
+    tx = transactions.Transactions(store)
+    off = tx.use_gate(will_apply=lambda w: w[0] != "remove" or "no removals", will_commit=lambda net: all(d is None or d.get("n", 0) < 10 for d in net.values()))
+    one = tx.begin()
+    tx.set(one, "t", "1", {"n": 1})
+    with pytest.raises(transactions.PolicyVeto, match="no removals") as error:
+        tx.remove(one, "t", "1")
+    assert error.value.phase == "apply" and len(tx.writes) == 1
+    tx.set(one, "t", "1", {"m": 2})
+    assert tx.net(one) == {("t", "1"): {"n": 1, "m": 2}}
+    tx.commit(one)
+    two = tx.begin()
+    tx.set(two, "t", "1", {"n": 10})
+    tx.set(two, "t", "1", {"m": 0})
+    with pytest.raises(transactions.PolicyVeto) as error:
+        tx.commit(two)
+    assert error.value.phase == "commit" and tx.outcomes[two][0] == "rollback"
+    with pytest.raises(transactions.PolicyVeto):
+        tx.apply([("set", "t", "1", {}), ("remove", "t", "1", None)])
+    assert tx.outcomes["tx-3"][0] == "rollback"
+    tx.use_gate(will_apply=lambda w: 1 / 0)
+    with pytest.raises(transactions.PolicyVeto, match="division"):
+        tx.set(tx.begin(), "t", "1", {})
+    off()
+    assert tx.will_commit == [] and len(tx.will_apply) == 1
+
+
+def test_handles_go_with_their_stores():
+    import gc
+
+    class Store:
+        pass
+
+    handles = set()
+    for _ in range(50):
+        store = Store()
+        tx = transactions.Transactions(store)
+        assert tx.begin() == "tx-1" and transactions.Transactions(store) is tx
+        handles.add(id(store))
+        del store, tx
+    gc.collect()
+    assert len(transactions.Transactions._handles) < 50
+
+
+def test_write_behind_merges_patches(spark):
+    """What rows hold after flushes at random, against the images at each key's last write."""
+    import json
+
+    chosen = random.Random(6)
+    backend = durable.MemoryBackend(spark)
+    failed = []
+    behind = durable.WriteBehind(backend, failed.append)
+    memory, disk, seq = {}, {}, 0
+    for _ in range(4):
+        rows = []
+        for _ in range(25):
+            seq += 1
+            id, op = str(chosen.randrange(6)), chosen.choice(["set", "set", "set", "replace", "remove", "evict", "hydrate"])
+            data = {f: chosen.randrange(9) for f in "xyz" if chosen.random() < 0.5}
+            if op == "hydrate":  # an evicted row comes back as it is on disk
+                if id in memory or id not in disk:
+                    continue
+                memory[id] = dict(disk[id])
+                rows.append((seq, "set", "t", id, json.dumps(disk[id]), "hydration"))
+                if id not in backend_ids(backend):
+                    rows.pop()
+                    memory.pop(id)
+                continue
+            if op in ("set", "replace"):
+                memory[id] = {**(memory.get(id, {}) if op == "set" else {}), **data}
+                disk[id] = dict(memory[id])
+            else:
+                memory.pop(id, None)
+                if op == "remove":
+                    disk.pop(id, None)
+            rows.append((seq, op, "t", id, json.dumps(data) if op in ("set", "replace") else None, "local-mutation"))
+        behind.add(spark.createDataFrame(rows, f"seq bigint, op string, {KEYED}, data string, origin string"))
+        assert behind.flush(), [str(e.java_exception.getCause() or e.java_exception)[:800] for e in failed]
+        assert {r.id: json.loads(r.data) for r in backend.load_all().collect()} == disk
+
+
+def backend_ids(backend):
+    return {r.id for r in backend.load_all().collect()}
+
+
+def test_two_writers_of_a_durable_store(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/s"
+    one, two = (durable.ParquetBackend(spark, path, buckets=4) for _ in range(2))
+    put = lambda i: spark.createDataFrame([("t", i, "x")], f"{KEYED}, data string")
+    none = spark.createDataFrame([], KEYED)
+    one.write_batch(put("0"), none)
+    upserted = durable.upserted
+
+    def slow(*args):
+        monkeypatch.setattr(durable, "upserted", upserted)
+        two.write_batch(put("1"), none)
+        return upserted(*args)
+
+    monkeypatch.setattr(durable, "upserted", slow)
+    with pytest.raises(durable.Conflict):
+        one.write_batch(put("2"), none)
+    assert {r.id for r in one.load_all().collect()} == {"0", "1"}
+    other = durable.ParquetBackend(spark, path, buckets=99)  # the store's own number counts
+    other.write_batch(put("3"), none)
+    assert other._pointer()[1]["n"] == 4 and {r.id for r in one.load_all().collect()} == {"0", "1", "3"}
+    read = []
+    monkeypatch.setattr(other, "_read", lambda folders: read.append(len(folders)) or durable.ParquetBackend._read(other, folders))
+    assert [r.id for r in other.load_many(spark.createDataFrame([("t", "3")], KEYED)).collect()] == ["3"] and other.load_many(none).count() == 0
+    assert read == [1, 0]
+
+
+def test_tries_and_deadlines():
+    import time
+
+    waits, calls = [], []
+
+    def flaky():
+        calls.append(1)
+        if len(calls) < 3:
+            raise OSError("not yet")
+        return "open"
+
+    assert durable.attempted(flaky, attempts=3, gap=0.5, pause=waits.append) == "open" and waits == [0.5, 0.5]
+    with pytest.raises(OSError, match="never"):
+        durable.attempted(lambda: (_ for _ in ()).throw(OSError("never")), pause=waits.append)
+    with pytest.raises(TimeoutError):
+        durable.attempted(lambda: time.sleep(5), attempts=1, deadline=0.05)
+
+    class Slow(durable.WriteBehind):
+        def flush(self):
+            time.sleep(5)
+
+    assert not Slow(None).close(deadline=0.05)
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from tessera.sources.scratch import checkpoint_root
+
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+        class sparkContext:
+            master = "yarn"
+
+            class _jsc:
+                sc = staticmethod(lambda: type("x", (), {"getCheckpointDir": staticmethod(lambda: type("y", (), {"isDefined": staticmethod(lambda: False)}))}))
+
+    with pytest.raises(RuntimeError, match="share"):
+        checkpoint_root(Session)
