@@ -350,6 +350,25 @@ def version_tick(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.version_ticks(event_log(spark, sf_dir)).select("seq", "version_tick")
 
 
+def streamed(deltas: DataFrame, at: str) -> DataFrame:
+    """What a stream of deltas gives for all that its source holds now."""
+    spark = deltas.sparkSession
+    with live.with_store(spark):
+        run = deltas.writeStream.format("parquet").option("path", f"{at}/deltas").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+        run.awaitTermination()
+    return spark.read.schema(live.DELTAS).parquet(f"{at}/deltas")
+
+
+@query(f"WITH {DELTAS} SELECT seq, id, delta FROM dl")
+def folding_view_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The deltas of the plain change log, which the stream folds itself."""
+    at = scratch(spark, "stream")
+    log = change_log(spark, sf_dir)
+    log.select("seq", "op", "entity_type", "id", F.to_json(F.struct(*FIELDS)).alias("data")).write.parquet(f"{at}/log")
+    source = spark.readStream.schema("seq bigint, op string, entity_type string, id string, data string").parquet(f"{at}/log")
+    return streamed(live.folding_view(source, VIEW), at).select("seq", "id", "delta")
+
+
 @query(f"WITH {DELTAS} SELECT seq, id, delta FROM dl")
 def live_view_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The deltas again, by a stream over what the images come to."""
@@ -357,9 +376,7 @@ def live_view_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = views.after(event_images(spark, sf_dir), FIELDS).select("seq", "entity_type", "id", "op", *FIELDS)
     source.write.parquet(f"{at}/events")
     stream = live.live_view(spark.readStream.schema(source.schema).parquet(f"{at}/events"), VIEW)
-    run = stream.writeStream.format("parquet").option("path", f"{at}/deltas").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.read.schema(live.DELTAS).parquet(f"{at}/deltas").select("seq", "id", "delta")
+    return streamed(stream, at).select("seq", "id", "delta")
 
 
 # ---- history ----

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import json
+import threading
 import time
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StringType, StructField, StructType
 
+from tessera.functions.matcher import Encodable, Node, classify, holds
 from tessera.plans.compile import matches
+from tessera.sources.scratch import stored
 
 KEY = ["entity_type", "id"]
 DELTAS = "entity_type string, id string, seq bigint, delta string"
@@ -41,12 +46,71 @@ class Membership(StatefulProcessor):
         pass
 
 
+class FoldingMembership(StatefulProcessor):
+    """Keeps each entity as its changes leave it, and whether it is in the view; gives a row where that changes."""
+
+    def __init__(self, node: Node) -> None:
+        self.node = node
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("entity", StructType([StructField("data", StringType()), StructField("member", StringType())]))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        held = self.state.get() or (None, "n")
+        data, was = None if held[0] is None else json.loads(held[0]), held[1] == "y"
+        out = []
+        every = pd.concat(list(rows)).sort_values("seq")  # a micro-batch gives no order
+        for seq, op, text in zip(every["seq"], every["op"], every["data"], strict=True):
+            if op in ("set", "replace"):
+                data = {**((data if op == "set" else None) or {}), **json.loads(text)}
+            else:
+                data = None
+            member = data is not None and holds(self.node, data)
+            if member != was:
+                was = member
+                out.append((*key, int(seq), "add" if was else "remove"))
+        if data is None and not was:
+            self.state.clear()
+        else:
+            self.state.update((None if data is None else json.dumps(data), "y" if was else "n"))
+        yield pd.DataFrame(out, columns=["entity_type", "id", "seq", "delta"])
+
+    def close(self) -> None:
+        pass
+
+
+def folding_view(log: DataFrame, filter: object) -> DataFrame:
+    """Deltas of a stream of changes (seq, op, key, data as JSON text or VARIANT), which are folded in the stream.
+
+    The changes of what is there when the view starts come first in it, as its seeds. A state is one entity, whatever
+    its history; only a filter that can be encoded works here. Runs under ``with_store``.
+    """
+    found = classify(filter)
+    if not isinstance(found, Encodable):
+        raise ValueError(f"unusable filter: {found.reason}")
+    data = F.col("data") if dict(log.dtypes)["data"] == "string" else F.to_json("data")
+    told = log.select(*KEY, "seq", "op", data.alias("data"))
+    return told.groupBy(*KEY).transformWithStateInPandas(FoldingMembership(found.node), DELTAS, "Append", "None")
+
+
+@contextmanager
+def with_store(spark: SparkSession) -> Iterator[None]:
+    """The session with the state store provider that keyed state needs; as it was, after that."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, STORE)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def live_view(events: DataFrame, filter: object) -> DataFrame:
     """Deltas of a stream of events (seq, op, key, fields after the event). No event is scanned twice.
 
-    A filter that can't be used is refused here, when the view is built.
+    A filter that can't be used is refused here, when the view is built. The session that runs it has to have STORE
+    as its state store provider (``with_store``).
     """
-    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
     member = F.col("op").isin("set", "replace") & matches(events, filter)
     told = events.select(*KEY, "seq", member.alias("member"))
     return told.groupBy(*KEY).transformWithStateInPandas(Membership(), DELTAS, "Append", "None")
@@ -80,20 +144,36 @@ class Boundary:
 
 
 class Coalescer:
-    """Gathers batches and hands them on together after a delay, or when asked; nothing gathered, no call."""
+    """Gathers batches and hands them on together after a delay, or when asked; nothing gathered, no call.
+
+    A batch is written to a table of its own, since what ``foreachBatch`` gives doesn't outlive its call. With the real
+    clock a timer flushes what no later batch does.
+    """
 
     def __init__(self, flush: Callable[[DataFrame], None], delay: float = 0.05, clock: Callable[[], float] = time.monotonic) -> None:
         self.on_flush, self.delay, self.clock, self.held, self.since = flush, delay, clock, None, 0.0
+        self.lock, self.timer = threading.RLock(), None
 
     def add(self, batch: DataFrame, _: int = 0) -> None:
-        if self.held is None:
-            self.since = self.clock()
-        self.held = batch if self.held is None else self.held.unionByName(batch)
-        if self.clock() - self.since >= self.delay:
+        kept = stored(batch, "coalesced")
+        with self.lock:
+            if self.held is None:
+                self.since = self.clock()
+                if self.clock is time.monotonic:
+                    self.timer = threading.Timer(self.delay, self.flush)
+                    self.timer.daemon = True
+                    self.timer.start()
+            self.held = kept if self.held is None else self.held.unionByName(kept)
+            due = self.clock() - self.since >= self.delay
+        if due:
             self.flush()
 
     def flush(self) -> None:
-        held, self.held = self.held, None
+        with self.lock:
+            held, self.held = self.held, None
+            if self.timer is not None:
+                self.timer.cancel()
+                self.timer = None
         if held is not None and not held.isEmpty():
             self.on_flush(held)
 
@@ -110,14 +190,19 @@ def rescanned(entities: Callable[[], DataFrame], predicate: object, types: Seque
     return sink
 
 
-def guarded(truth: Callable[[], DataFrame], held: Callable[[], DataFrame], report: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch``: compares what a view holds with a scan, and reports what differs."""
+def guarded(
+    truth: Callable[[], DataFrame], held: Callable[[], DataFrame], report: Callable[[DataFrame], None], adopt: Callable[[DataFrame], None] | None = None
+) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: compares what a view holds with a scan, reports what differs, and has the truth adopted."""
     from tessera.operators.views import divergence
 
     def sink(_: DataFrame, __: int) -> None:
-        found = divergence(held(), truth())
+        right = truth()
+        found = divergence(held(), right)
         if not found.isEmpty():
             report(found)
+            if adopt is not None:
+                adopt(right.select(*KEY))
 
     return sink
 

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.matcher import M
 from tessera.operators import changes, views
-from tessera.streaming.live import Boundary, Coalescer, guarded, live_view, rescanned
+from tessera.streaming.live import Boundary, Coalescer, folding_view, guarded, live_view, rescanned, with_store
 from tests_support import event_rows
 
 SCHEMA = "seq bigint, op string, entity_type string, id string, a int"
@@ -84,3 +84,60 @@ def test_guard_reports_what_differs(spark):
     guarded(lambda: rows, lambda: rows.where("id = '1'"), lambda df: told.append(df.collect()))(rows, 0)
     guarded(lambda: rows, lambda: rows, lambda df: told.append(df.collect()))(rows, 1)
     assert [[(r.id, r.divergence) for r in x] for x in told] == [[("2", "missing")]]
+
+
+def test_a_view_that_folds_patches_in_the_stream(spark, tmp_path):
+    import json
+    import random
+
+    chosen, rows = random.Random(8), []
+    for seq in range(300):
+        op = chosen.choice(["set", "set", "set", "replace", "remove", "evict"])
+        data = {f: chosen.randrange(4) for f in "ab" if chosen.random() < 0.6} if op in ("set", "replace") else None
+        rows.append((seq, op, "t", str(chosen.randrange(12)), data))
+    schema = "seq bigint, op string, entity_type string, id string, data string"
+    for k in range(3):
+        part = [(*r[:4], None if r[4] is None else json.dumps(r[4])) for r in rows[k * 100 : (k + 1) * 100]]
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/in/part{k}")
+    node = M.and_(M.gte("a", 2), M.neq("b", 1))
+    memory, held, expected = {}, set(), []
+    for seq, op, _, id, data in rows:
+        memory[id] = {**((memory.get(id) if op == "set" else None) or {}), **data} if data is not None else None
+        member = memory[id] is not None and memory[id].get("a", -1) >= 2 and "b" in memory[id] and memory[id]["b"] != 1
+        if member != (id in held):
+            expected.append((seq, id, "add" if member else "remove"))
+            (held.add if member else held.discard)(id)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    found = []
+    with with_store(spark):
+        run(folding_view(stream, node), tmp_path, lambda batch, _: found.extend(map(tuple, batch.select("seq", "id", "delta").collect())))
+    assert sorted(found) == expected and len(expected) > 40
+    with pytest.raises(ValueError, match="unusable"):
+        folding_view(stream, lambda row: True)
+
+
+def test_with_store_leaves_the_session_as_it_was(spark):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "other")
+    with with_store(spark):
+        assert "RocksDB" in spark.conf.get(key)
+    assert spark.conf.get(key) == "other"
+    spark.conf.set(key, before)
+
+
+def test_coalescer_flushes_by_itself(spark):
+    import threading
+
+    told, flushed = threading.Event(), []
+    one = Coalescer(lambda b: (flushed.append(b.count()), told.set()), delay=0.2)
+    one.add(spark.range(3))
+    assert told.wait(20) and flushed == [3] and one.held is None
+
+
+def test_guard_has_the_truth_adopted(spark):
+    rows = spark.createDataFrame([("t", "1"), ("t", "2")], "entity_type string, id string")
+    view = [rows.where("id = '1'")]
+    sink = guarded(lambda: rows, lambda: view[0], lambda df: None, lambda right: view.__setitem__(0, right))
+    sink(rows, 0)
+    assert sorted(r.id for r in view[0].collect()) == ["1", "2"]
