@@ -183,6 +183,149 @@ def is_ref(document: Column) -> Column:
     return F.coalesce(marked & texts[0] & texts[1] & texts[2], F.lit(False))
 
 
+def decode_ref(document: Column) -> Column:
+    """A whole reference as a struct (entity_type, id, key); NULL for plain data, which a marked object of another shape is."""
+    part = lambda k: F.try_variant_get(document, f"$.{k}", "string")
+    return F.when(is_ref(document), F.struct(part("entityType").alias("entity_type"), part("id").alias("id"), part("key").alias("key")))
+
+
+def encode_ref(reference: Column) -> Column:
+    """The stored form of a struct (entity_type, id, key): a marked VARIANT object; NULL for NULL or a part that is."""
+    whole = reference["entity_type"].isNotNull() & reference["id"].isNotNull() & reference["key"].isNotNull()
+    shape = F.struct(F.lit(True).alias(REF_MARK), reference["entity_type"].alias("entityType"), reference["id"].alias("id"), reference["key"].alias("key"))
+    return F.when(whole, F.to_variant_object(shape))
+
+
+def ref_key(value: object) -> str | None:
+    """The key of a whole reference in a document, else None."""
+    if isinstance(value, dict) and value.get(REF_MARK) is True and all(isinstance(value.get(k), str) for k in ("entityType", "id", "key")):
+        return f"{value['entityType']}:{value['id']}"
+    return None
+
+
+def ref_keys(value: object) -> list[str]:
+    """The keys of all references in a document, each once."""
+    found: dict[str, None] = {}
+    stack = [value]
+    while stack:
+        x = stack.pop()
+        if (key := ref_key(x)) is not None:
+            found[key] = None
+        elif isinstance(x, dict | list):
+            stack += x.values() if isinstance(x, dict) else x
+    return list(found)
+
+
+def resolved(value: object, entities: Mapping[str, object]) -> object:
+    """A document with entities in place of references, and of theirs, all the way down.
+
+    A missing entity is a missing field, and an empty place in a list. An entity inside itself is left as it is stored.
+    """
+    missing, open_ = object(), set()
+
+    def visit(x: object) -> object:
+        if (key := ref_key(x)) is not None:
+            if key not in entities:
+                return missing
+            if key in open_:
+                return entities[key]
+            open_.add(key)
+            try:
+                return visit(entities[key])
+            finally:
+                open_.discard(key)
+        if isinstance(x, list):
+            return [None if (y := visit(v)) is missing else y for v in x]
+        if isinstance(x, dict):
+            return {k: y for k, v in x.items() if (y := visit(v)) is not missing}
+        return x
+
+    found = visit(value)
+    return None if found is missing else found
+
+
+def _mapped(rows: DataFrame, text: str, make: Callable[[str], object], schema: str, *kept: str) -> DataFrame:
+    """Rows with what ``make`` gives for their JSON text as the last column."""
+    name = schema.split(" ")[0]
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = batch[list(kept)].copy()
+            out[name] = [make(x) for x in batch[text]]
+            yield out
+
+    return rows.select(*kept, text).mapInPandas(run, f"{kinds}, {schema}")
+
+
+def denormalize_documents(documents: DataFrame, entities: DataFrame, *, row: str = "row", depth: int = 1_000) -> DataFrame:
+    """documents (``row``, unique; data as JSON text) -> row and data with entities in place of references.
+
+    ``entities`` has key columns and data as JSON text. What a document's references lead to is found by joins, a
+    round for each step of up to ``depth``; then each document meets the entities that are its own.
+    """
+    stated = entities.select(F.concat_ws(":", "entity_type", "id").alias("key"), "data")
+    keys = lambda x: [] if x is None else ref_keys(json.loads(x))
+    edges = stored(_mapped(stated, "data", keys, "refs array<string>", "key").select(F.col("key").alias("a"), F.explode("refs").alias("b")), "edges")
+    starts = _mapped(documents, "data", keys, "refs array<string>", row).select(F.col(row).alias("node"), F.explode("refs").alias("reached"))
+    front = stored(starts, "reached")
+    parts = [front]
+    for _ in range(depth):
+        if front.isEmpty():
+            break
+        seen = parts[0]
+        for part in parts[1:]:
+            seen = seen.unionByName(part)
+        nexts = front.join(edges, F.col("reached") == F.col("a")).select("node", F.col("b").alias("reached")).distinct()
+        front = stored(nexts.join(seen, ["node", "reached"], "left_anti"), "reached")
+        parts.append(front)
+    reached = parts[0]
+    for part in parts[1:]:
+        reached = reached.unionByName(part)
+    met = reached.join(stated, F.col("reached") == F.col("key")).groupBy("node").agg(F.collect_list(F.struct("key", "data")).alias("entities"))
+    joined = documents.select(row, "data").join(met, F.col(row) == F.col("node"), "left")
+    body = joined.select(row, F.to_json(F.struct("data", "entities")).alias("body"))
+
+    def make(body: str) -> str | None:
+        told = json.loads(body)
+        if told.get("data") is None:
+            return None
+        found = resolved(json.loads(told["data"]), {x["key"]: json.loads(x["data"]) for x in told.get("entities") or [] if x.get("data") is not None})
+        return None if found is None else json.dumps(found, ensure_ascii=False)
+
+    return _mapped(body, "body", make, "data string", row)
+
+
+def denormalize(tables: Mapping[str, DataFrame], root: str, registry: Mapping[str, Definition], *, depth: int = 16) -> DataFrame:
+    """The rows of ``root`` with entities in place of references, along the registry's relations and theirs.
+
+    A table has entity_id (unique), own fields and, for relations, reference structs or arrays of them, as
+    ``normalize`` makes them. A missing entity is NULL, in a list a NULL in its place. A type within itself, or beyond
+    ``depth`` levels, keeps its references.
+    """
+
+    def expand(entity: str, path: tuple[str, ...]) -> DataFrame:
+        rows = tables[entity]
+        for name, relation in registry[entity].relations.items():
+            if name not in rows.columns or relation.entity not in tables or relation.entity in path or len(path) > depth:
+                continue
+            target = expand(relation.entity, (*path, relation.entity))
+            right = target.select(F.col("entity_id").alias("resolved_id"), F.struct(*[f"`{c}`" for c in target.columns]).alias("resolved"))
+            columns = [F.col("resolved" if c == name else f"`{c}`").alias(c) for c in rows.columns]
+            if not relation.many:
+                rows = rows.join(right, F.col(f"`{name}`.id") == F.col("resolved_id"), "left").select(*columns)
+                continue
+            spread = rows.select("entity_id", F.posexplode(F.col(f"`{name}`")).alias("at", "wanted"))
+            found = spread.join(right, F.col("wanted.id") == F.col("resolved_id"), "left").groupBy(F.col("entity_id").alias("owner"))
+            found = found.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "resolved"))), lambda x: x["resolved"]).alias("resolved"))
+            empty = F.when(F.col(f"`{name}`").isNotNull(), F.array().cast(found.schema["resolved"].dataType))
+            columns = [(F.coalesce("resolved", empty) if c == name else F.col(f"`{c}`")).alias(c) for c in rows.columns]
+            rows = rows.join(found, F.col("entity_id") == F.col("owner"), "left").select(*columns)
+        return rows
+
+    return expand(root, (root,))
+
+
 def resolve_one(rows: DataFrame, column: Column | str, target: DataFrame, id: str, name: str, fields: Sequence[str] | None = None) -> DataFrame:
     """Adds the entity that ``column`` refers to as a struct; NULL where there is none, as for a dangling reference."""
     fields = list(fields or [c for c in target.columns if c != id])

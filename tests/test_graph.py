@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.schema import export_schema, exported, scrub, struct_type
 from tessera.operators import graph
-from tessera.operators.graph import Definition, Relation, identify, walk
+from tessera.operators.graph import Definition, Relation, decode_ref, denormalize, denormalize_documents, encode_ref, identify, walk
 
 REGISTRY = {"contact": Definition(id_field="contactId"), "order": Definition(id_field="orderId"), "member": Definition(get_id=lambda x: f"{x['orgId']}-{x['userId']}" if "orgId" in x and "userId" in x else None)}
 
@@ -84,3 +84,54 @@ def test_schema():
     assert set(scrubbed["entities"]) == {"a", "b"} and set(scrubbed["entities"]["a"]["relations"]) == {"b"} and "c" in schema["entities"]
     kind = struct_type(schema["entities"]["a"])
     assert kind.simpleString() == "struct<n:double,t:string>" and exported(kind) == {"n": {"type": "number"}, "t": {"type": "string"}}
+
+
+def test_typed_tables_resolve_all_the_way_down(spark):
+    registry = {
+        "order": Definition(id_field="o", relations={"customer": Relation("customer"), "lines": Relation("line", many=True)}),
+        "customer": Definition(id_field="c", relations={"nation": Relation("nation"), "friend": Relation("customer")}),
+        "nation": Definition(id_field="n"),
+        "line": Definition(id_field="l", relations={"part": Relation("part")}),
+    }
+    ref = "struct<entity_type:string,id:string,key:string>"
+    r = lambda t, i: None if i is None else (t, i, f"{t}:{i}")
+    tables = {
+        "order": spark.createDataFrame([("1", r("customer", "a"), [r("line", "x"), r("line", "gone"), r("line", "y")]), ("2", r("customer", "gone"), []), ("3", None, None)], f"entity_id string, customer {ref}, lines array<{ref}>"),
+        "customer": spark.createDataFrame([("a", "Ann", r("nation", "N"), r("customer", "a"))], f"entity_id string, name string, nation {ref}, friend {ref}"),
+        "nation": spark.createDataFrame([("N", "Land")], "entity_id string, name string"),
+        "line": spark.createDataFrame([("x", 1, r("part", "p")), ("y", 2, None)], f"entity_id string, qty int, part {ref}"),
+    }
+    found = {x.entity_id: x.asDict(recursive=True) for x in denormalize(tables, "order", registry).collect()}
+    assert found["1"]["customer"] == {"entity_id": "a", "name": "Ann", "nation": {"entity_id": "N", "name": "Land"}, "friend": {"entity_type": "customer", "id": "a", "key": "customer:a"}}
+    assert [x and x["entity_id"] for x in found["1"]["lines"]] == ["x", None, "y"] and found["1"]["lines"][0]["part"]["key"] == "part:p"
+    assert found["2"] == {"entity_id": "2", "customer": None, "lines": []} and found["3"] == {"entity_id": "3", "customer": None, "lines": None}
+
+
+def wire(kind, id):
+    return {"__cdb_ref": True, "entityType": kind, "id": id, "key": f"{kind}:{id}"}
+
+
+def test_documents_resolve_with_cycles_and_missing_entities(spark):
+    entities = {
+        ("c", "1"): {"name": "Ann", "org": wire("o", "9"), "tags": [wire("t", "1"), wire("t", "none"), 3]},
+        ("o", "9"): {"title": "Org", "boss": wire("c", "1"), "gone": wire("c", "none")},
+        ("t", "1"): {"t": "x"},
+        ("l", "1"): {"next": wire("l", "2")}, ("l", "2"): {"next": wire("l", "3")}, ("l", "3"): {"next": wire("l", "1")},
+    }
+    marked = {"__cdb_ref": True, "entityType": "c", "id": 1, "key": "c:1"}
+    documents = {1: {"who": wire("c", "1"), "again": [wire("c", "1")]}, 2: wire("l", "1"), 3: {"plain": marked, "n": None}, 4: wire("none", "1"), 5: [wire("t", "none"), wire("t", "1")], 6: {"a": wire("t", "none")}}
+    df = spark.createDataFrame([*((k, json.dumps(v)) for k, v in documents.items()), (7, None)], "row bigint, data string")
+    rows = spark.createDataFrame([(*k, json.dumps(v)) for k, v in entities.items()], "entity_type string, id string, data string")
+    found = {r.row: r.data and json.loads(r.data) for r in denormalize_documents(df, rows).collect()}
+    tags = [{"t": "x"}, None, 3]
+    ann = {"name": "Ann", "org": {"title": "Org", "boss": {**entities["c", "1"]}}, "tags": tags}
+    assert found[1] == {"who": ann, "again": [ann]}
+    assert found[2] == {"next": {"next": {"next": {"next": wire("l", "2")}}}}
+    assert found[3] == documents[3] and found[4] is None and found[5] == [None, {"t": "x"}] and found[6] == {} and found[7] is None
+
+
+def test_reference_codec(spark):
+    df = spark.createDataFrame([(json.dumps(x),) for x in (wire("c", "1"), {**wire("c", "1"), "id": 1}, {"__cdb_ref": "true", **{k: "x" for k in ("entityType", "id", "key")}}, {"a": 1}, None)], "t string").withColumn("d", F.parse_json("t"))
+    back = df.select("t", decode_ref(F.col("d")).alias("r")).withColumn("again", F.to_json(encode_ref(F.col("r")))).collect()
+    assert [r.r and tuple(r.r) for r in back] == [("c", "1", "c:1"), None, None, None, None]
+    assert json.loads(back[0].again) == wire("c", "1") and back[1].again is None
