@@ -29,8 +29,15 @@ def deltas(imaged: DataFrame, filter: object, fields: Sequence[str], key: Sequen
     return told.withColumn("was", was).where("member != was").withColumn("delta", F.when(F.col("member"), "add").otherwise("remove")).drop("member", "was")
 
 
-def members(found: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
-    """The ids in the view, with the seq of their last entry; a view lists them in that order."""
+def members(found: DataFrame, key: Sequence[str] = KEY, seeds: DataFrame | None = None) -> DataFrame:
+    """The ids in the view, with the seq of their last entry; a view lists them in that order.
+
+    ``seeds`` (key, seed_pos) were in the view when it was made: they come first, in the order of their scan, unless
+    they left since; one that came back stands where it came back.
+    """
+    if seeds is not None:
+        low = F.lit(-(2**62)).cast("long") + F.col("seed_pos")
+        found = seeds.select(*key, low.alias("seq"), F.lit("add").alias("delta")).unionByName(found.select(*key, F.col("seq").cast("long").alias("seq"), "delta"))
     last = found.groupBy(*key).agg(F.max_by("delta", "seq").alias("delta"), F.max(F.when(F.col("delta") == "add", F.col("seq"))).alias("entered"))
     return last.where("delta = 'add'").drop("delta")
 
@@ -42,6 +49,11 @@ def divergence(held: DataFrame, truth: DataFrame, key: Sequence[str] = KEY) -> D
     return lacks.unionByName(held.select(*key).join(truth, key, "left_anti").withColumn("divergence", F.lit("extra")))
 
 
+def same(a: DataFrame, b: DataFrame) -> bool:
+    """Whether two sets of rows are equal, so that what is held needn't be replaced."""
+    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+
+
 def healed(held: DataFrame, truth: DataFrame, key: Sequence[str] = KEY) -> tuple[DataFrame, bool]:
     """The right members and whether the held ones were."""
     return truth.select(*key), divergence(held, truth, key).isEmpty()
