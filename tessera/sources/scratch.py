@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,9 +31,28 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark)}/tessera-{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str, path: str | None = None, **options: str) -> DataFrame:
+_passing = threading.local()
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Tables that are stored inside are deleted at the end, but for those to ``keep``."""
+    outer, own = getattr(_passing, "paths", None), []
+    _passing.paths = own
+    try:
+        yield
+    finally:
+        _passing.paths = outer
+        for path in own:
+            fs, folder = hadoop_path(spark, path)
+            fs.delete(folder, True)
+
+
+def stored(df: DataFrame, name: str, path: str | None = None, keep: bool = False, **options: str) -> DataFrame:
     """Writes ``df`` below the shared folder and reads it again."""
     path = path or scratch(df.sparkSession, name)
+    if not keep and getattr(_passing, "paths", None) is not None:
+        _passing.paths.append(path)
     df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
