@@ -6,9 +6,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.sources.scratch import checkpoint_root, commit_file, hadoop_path, scratch, stored
+from tessera.sources.scratch import checkpoint_root, commit_file, hadoop_path, passing, scratch, stored
 
-__all__ = ["FILE", "ROW", "WORD", "placed_rows", "checkpoint_root", "commit_file", "hadoop_path", "scratch", "stored", "whole"]
+__all__ = ["FILE", "ROW", "WORD", "placed_rows", "checkpoint_root", "commit_file", "hadoop_path", "passing", "scratch", "stored", "whole"]
 
 #: Words as most contracts define them: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import FILE, ROW, stored
+from tessera.llm.common import FILE, ROW, passing, stored
 from tessera.llm.components import components, nearest_forest
 
 WIDTH, SEED = 5, 42
@@ -213,12 +213,13 @@ def links(rows: DataFrame, found: DataFrame, points: DataFrame) -> DataFrame:
     ``found`` are rows as ``marked`` gives them, ``points`` (point, least, root) a row with the place of each point's
     text and its component.
     """
-    own = points.select(F.col("least")[FILE].alias(FILE), F.col("least")[ROW].alias(ROW), "root")
-    tokens = found.join(own, [FILE, ROW]).select("point", "n", "root", F.explode("firsts").alias("token"))
-    tokens = stored(tokens, "tokens")
-    shared = tokens.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo < hi")
-    kept = stored(tokens.join(stored(shared.select("token", "c"), "shared"), "token"), "shared-tokens")
-    hot = stored(kept.where(F.col("c") > HOT), "hot-tokens")
+    tokens = found.select("point", "n", F.explode("firsts").alias("token"))
+    shared = tokens.groupBy("token").agg(F.min("point").alias("lo"), F.max("point").alias("hi")).where("lo < hi").select("token")
+    kept = tokens.join(stored(shared, "shared"), "token", "left_semi").distinct()
+    kept = stored(kept.join(points.select("point", "root"), "point"), "shared-tokens")
+    open_ = kept.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo < hi")
+    kept = stored(kept.join(stored(open_.select("token", "c"), "open"), "token"), "open-tokens")
+    hot = kept.where(F.col("c") > HOT)
     held = hot.groupBy("point").agg(F.count(F.lit(1)).alias("h"))
     cold = kept.where(F.col("c") <= HOT).join(held, "point", "left").select("token", "point", "n", "root", F.coalesce("h", F.lit(0)).alias("h"))
     cold = stored(cold, "cold-tokens")
@@ -242,14 +243,16 @@ def without_near_copies(rows: DataFrame, near: Callable[[DataFrame], DataFrame])
 
     ``near`` gives edges (a, b) between fingerprints (fp) that differ in few bits.
     """
-    found = stored(marked(rows), "marked")
     own = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", FILE, ROW)  # names one row, whatever doc_ids repeat
-    points = found.groupBy("point").agg(F.min(own).alias("least"), F.min("n").alias("n"), F.min("fp").alias("fp")).withColumn("root", F.col("point"))
-    points = stored(points, "points")
-    points = _rooted(points, _verified(by_fingerprint(points, near), rows, points), "near-points")
-    root = points.select("point", "root")
-    more = links(rows, found, points)
-    more = more.join(root.toDF("a", "x"), "a").join(root.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    points = _rooted(points, more, "all-points")
-    named = stored(points.join(points.groupBy("root").agg(F.min("least").alias("stays")), "root").select("point", "stays"), "named")
-    return found.join(named, "point").where(own != F.col("stays")).select(FILE, ROW)
+    with passing(rows.sparkSession):
+        found = stored(marked(rows), "marked")
+        points = found.groupBy("point").agg(F.min(own).alias("least"), F.min("n").alias("n"), F.min("fp").alias("fp")).withColumn("root", F.col("point"))
+        points = stored(points, "points")
+        points = _rooted(points, _verified(by_fingerprint(points, near), rows, points), "near-points")
+        root = points.select("point", "root")
+        more = links(rows, found, points)
+        more = more.join(root.toDF("a", "x"), "a").join(root.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        points = _rooted(points, more, "all-points")
+        named = stored(points.join(points.groupBy("root").agg(F.min("least").alias("stays")), "root").select("point", "stays"), "named")
+        gone = found.join(named, "point").where(own != F.col("stays")).select(FILE, ROW)
+        return stored(gone, "gone", keep=True)

@@ -31,10 +31,11 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import stored
+from tessera.llm.common import passing, stored
 
 #: Words, and the marks that end sentences.
 TOKENS = re.compile(r"[^\W\d_]+|[.!?\n]").findall
+SENTENCE_ENDS = ".!?\n"
 ENDS = re.compile(r"[.!?\n]")
 BEGINNINGS = (3, 4, 5, 6)
 MOST_LABELLED, MEMO = 20_000, 300_000
@@ -55,7 +56,7 @@ def sentences(text: str) -> list[list[str]]:
     """The lower-cased words of each sentence with words."""
     found: list[list[str]] = [[]]
     for token in TOKENS(text.lower()):
-        if token in ".!?\n":
+        if token in SENTENCE_ENDS:
             if found[-1]:
                 found.append([])
         else:
@@ -75,27 +76,32 @@ class SentenceModel:
     weights: dict[str, float] = field(default_factory=dict)
     #: Words met: their numbers, and by number what they add; number 0 ends sentences.
     numbers: dict[str, int] = field(default_factory=dict)
-    added: list[float] = field(default_factory=list)
+    added: np.ndarray = field(default_factory=lambda: np.zeros(1_024))
 
-    def number(self, word: str) -> int:
-        if (n := self.numbers.get(word)) is None:
-            self.numbers[word] = n = len(self.added)
-            self.added.append(sum(self.weights.get(f, 0.0) for f in features(word)))
-        return n
+    def meet(self, words: set[str]) -> None:
+        """Numbers words that have none yet."""
+        first, weight = len(self.numbers) - len(SENTENCE_ENDS) + 1, self.weights.get
+        while first + len(words) > len(self.added):
+            self.added = np.concatenate([self.added, np.zeros(len(self.added))])
+        for n, word in enumerate(words, first):
+            self.numbers[word] = n
+            self.added[n] = sum(weight(f, 0.0) for f in features(word))
 
     def score(self, text: str) -> tuple[float, int, int, int | None, float | None]:
         """The document's score, its sentences, the offending ones, and start and score of the worst."""
-        if not 0 < len(self.added) <= MEMO:
-            self.numbers, self.added = dict.fromkeys(".!?\n", 0), [0.0]
-        tokens, known = TOKENS(text.lower()), self.numbers.get
-        own = np.array([n if (n := known(t)) is not None else self.number(t) for t in tokens], np.int64)
+        if not 0 < len(self.numbers) <= MEMO:
+            self.numbers = dict.fromkeys(SENTENCE_ENDS, 0)
+        tokens = TOKENS(text.lower())
+        if new := set(tokens).difference(self.numbers):
+            self.meet(new)
+        own = np.array(list(map(self.numbers.__getitem__, tokens)), np.int64)
         marks = np.cumsum(own == 0)
         sentence, at = marks[own > 0], own[own > 0]
         if not len(at):
             return 0.0, 0, 0, None, None
         first = np.flatnonzero(np.diff(sentence, prepend=-1))
         z = np.full(len(first), self.bias)
-        added = np.array(list(map(self.added.__getitem__, at.tolist())))
+        added = self.added[at]
         telling = np.flatnonzero(added)
         if len(telling):
             place = np.searchsorted(sentence[first], sentence[telling])
@@ -158,52 +164,53 @@ def told(positive: Column, held: Column, n_positive: int, n: int) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, *, most_labelled: int = MOST_LABELLED, least_told: float = LEAST_TOLD) -> SentenceModel:
     """The model of the labelled documents that are not held out."""
-    ids = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    ids = ids.where(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)
-    # bounded by most_labelled rows of two numbers
-    sample = stored(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("toxic", "text"), "labelled", compression="zstd")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: tuple[Counter, Counter] = (Counter(), Counter())
-        for batch in batches:
-            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                words = {w for words in sentences(text or "") for w in words}
-                seen[toxic > 0].update({f for w in words for f in features(w)})
-                seen[toxic > 0][""] += 1
-        names = list(seen[0].keys() | seen[1].keys())
-        for i in range(0, len(names), 100_000):
-            part = names[i : i + 100_000]
-            columns = [pa.array(part, pa.string()), *(pa.array([seen[k][x] for x in part], pa.int64()) for k in (1, 0))]
-            yield pa.RecordBatch.from_arrays(columns, names=["feature", "positive", "negative"])
-
-    counts = sample.mapInArrow(count, "feature string, positive bigint, negative bigint").groupBy("feature")
-    counts = stored(counts.agg(F.sum("positive").alias("positive"), F.sum("negative").alias("negative")), "features")
-    every = counts.where("feature = ''").collect()
-    n_positive, n_negative = (every[0]["positive"], every[0]["negative"]) if every else (0, 0)
-    if not n_positive or not n_negative:
-        return constant(float(n_positive > 0))
-    tells = told(F.col("positive"), F.col("positive") + F.col("negative"), n_positive, n_positive + n_negative)
-    names = [r[0] for r in counts.where("feature != ''").where(tells >= least_told).select("feature").orderBy("feature").collect()]
-    numbers = docs.sparkSession.sparkContext.broadcast({x: i for i, x in enumerate(names)})
-
-    def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = numbers.value.get
-        for batch in batches:
-            plain, lengths, flat = [], [], []
-            for text in batch.column("text").to_pylist():
-                found = [[i for w in set(words) for f in features(w) if (i := get(f)) is not None] for words in sentences(text or "")]
-                lengths.append([len(x) for x in found if x])
-                flat.append([i for x in found for i in x])
-                plain.append(len(found) - len(lengths[-1]))
-            columns = [batch.column("toxic").cast(pa.int64()), pa.array(plain, pa.int64()), *(pa.array(x, pa.list_(pa.int32())) for x in (lengths, flat))]
-            yield pa.RecordBatch.from_arrays(columns, names=["toxic", "plain", "lengths", "features"])
-
-    rows = sample.mapInArrow(bag, "toxic bigint, plain bigint, lengths array<int>, features array<int>").toArrow()
-    lengths, flat = (rows.column(c).combine_chunks() for c in ("lengths", "features"))
-    return fit(
-        rows.column("toxic").to_numpy().astype(float), rows.column("plain").to_numpy().astype(float),
-        pa.compute.list_value_length(lengths).to_numpy(), lengths.flatten().to_numpy(), flat.flatten().to_numpy(), names,
-    )
+    with passing(docs.sparkSession):  # the model is the driver's
+        ids = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+        ids = ids.where(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)
+        # bounded by most_labelled rows of two numbers
+        sample = stored(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("toxic", "text"), "labelled", compression="zstd")
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: tuple[Counter, Counter] = (Counter(), Counter())
+            for batch in batches:
+                for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+                    words = {w for words in sentences(text or "") for w in words}
+                    seen[toxic > 0].update({f for w in words for f in features(w)})
+                    seen[toxic > 0][""] += 1
+            names = list(seen[0].keys() | seen[1].keys())
+            for i in range(0, len(names), 100_000):
+                part = names[i : i + 100_000]
+                columns = [pa.array(part, pa.string()), *(pa.array([seen[k][x] for x in part], pa.int64()) for k in (1, 0))]
+                yield pa.RecordBatch.from_arrays(columns, names=["feature", "positive", "negative"])
+
+        counts = sample.mapInArrow(count, "feature string, positive bigint, negative bigint").groupBy("feature")
+        counts = stored(counts.agg(F.sum("positive").alias("positive"), F.sum("negative").alias("negative")), "features")
+        every = counts.where("feature = ''").collect()
+        n_positive, n_negative = (every[0]["positive"], every[0]["negative"]) if every else (0, 0)
+        if not n_positive or not n_negative:
+            return constant(float(n_positive > 0))
+        tells = told(F.col("positive"), F.col("positive") + F.col("negative"), n_positive, n_positive + n_negative)
+        names = [r[0] for r in counts.where("feature != ''").where(tells >= least_told).select("feature").orderBy("feature").collect()]
+        numbers = docs.sparkSession.sparkContext.broadcast({x: i for i, x in enumerate(names)})
+
+        def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            get = numbers.value.get
+            for batch in batches:
+                plain, lengths, flat = [], [], []
+                for text in batch.column("text").to_pylist():
+                    found = [[i for w in set(words) for f in features(w) if (i := get(f)) is not None] for words in sentences(text or "")]
+                    lengths.append([len(x) for x in found if x])
+                    flat.append([i for x in found for i in x])
+                    plain.append(len(found) - len(lengths[-1]))
+                columns = [batch.column("toxic").cast(pa.int64()), pa.array(plain, pa.int64()), *(pa.array(x, pa.list_(pa.int32())) for x in (lengths, flat))]
+                yield pa.RecordBatch.from_arrays(columns, names=["toxic", "plain", "lengths", "features"])
+
+        rows = sample.mapInArrow(bag, "toxic bigint, plain bigint, lengths array<int>, features array<int>").toArrow()
+        lengths, flat = (rows.column(c).combine_chunks() for c in ("lengths", "features"))
+        return fit(
+            rows.column("toxic").to_numpy().astype(float), rows.column("plain").to_numpy().astype(float),
+            pa.compute.list_value_length(lengths).to_numpy(), lengths.flatten().to_numpy(), flat.flatten().to_numpy(), names,
+        )
 
 
 def scored(docs: DataFrame, model: SentenceModel) -> DataFrame:
