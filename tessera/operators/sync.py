@@ -137,6 +137,18 @@ def applied(remote: DataFrame, fields: Sequence[str], key: Sequence[str] = KEY,
     return fold(log, fields, key).select(*key, *fields).join(versions, list(key))
 
 
+def shadow(changes: DataFrame, fields: Sequence[str], key: Sequence[str] = KEY, order: str = "seq") -> DataFrame:
+    """The server's truth as it has told it, patch over patch: key, gen (its writes), removed, fields.
+
+    changes (key, op, ``order``, fields): accepted pulls are 'set' and 'remove', transformed entities 'replace'.
+    """
+    from tessera.operators.changes import fold
+
+    log = changes.withColumnRenamed(order, "seq") if order != "seq" else changes
+    told = log.groupBy(*key).agg(F.count(F.lit(1)).alias("gen"), (F.max_by("op", "seq") == "remove").alias("removed"))
+    return told.join(fold(log, fields, key).select(*key, *fields), list(key), "left")
+
+
 def staged(pages: DataFrame, most: int = 200) -> DataFrame:
     """Pages of runs that came to an end: a run's changes apply only at ``complete``, within ``most`` pages, no error."""
     run = Window.partitionBy("subscription", "run")

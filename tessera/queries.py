@@ -38,10 +38,14 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    from tessera import handle_queries  # noqa: F401 - registers its own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from tessera import handle_queries  # noqa: F401 - registers its own
+
     return dict(_SQL)
 
 
