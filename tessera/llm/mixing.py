@@ -6,11 +6,14 @@ excess reshared by weight (water filling in closed form). A source's documents,
 whole passes, form its token stream; the cumulative demand D(t) is inverted at the middle of each occurrence, which
 gives its training position, and the mix is range-sorted by position.
 
-The running totals that place a document in its source's stream are two-level: hash buckets are summed first, and
-rows are only ranked within a bucket, so that a source with a third of all rows is spread over many tasks.
-
-Defined cases: null text has size 0 and is never taken; null source is a source of its own, last in order; repeated
-rows are rows of their own (ties in the hashed order fall by size); an empty table gives an empty mix; further
+Texts are read once for their sizes; what follows works on a narrow table, and ``mix`` joins the documents to it by
+their place in the input. The running totals that place a document in its source's stream are two-level: hash buckets
+are summed first, and rows are only ranked within a bucket, so that a source with a third of all rows is spread over
+many tasks. Rows that share a doc_id are told apart by a digest of their text, equal rows by their place; where they are
+more than a bucket holds, these spread them over buckets of their own.
+
+Defined cases: null text has size 0 and is never taken; null source is a source of its own, last in order; a row
+without doc_id is ordered by its text; repeated rows are rows of their own; an empty table gives an empty mix; further
 columns are kept by ``mix`` under their names.
 """
 
@@ -21,11 +24,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD
+from tessera.llm.common import FILE, ROW, WORD, placed_rows, stored
 
 WEIGHTS = (3.0, 1.0, 2.0)
 #: Rows of a bucket in which a window ranks, about.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 
 
 def word_count(text: str = "text") -> Column:
@@ -61,21 +64,39 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], total: float, cap
     )
 
 
+def placed(docs: DataFrame) -> DataFrame:
+    """``docs`` with the file and the row in it of each row; a table of its own if it is no plain scan."""
+    rows = placed_rows(docs)
+    return placed_rows(stored(docs, "rows", compression="zstd")) if rows is None else rows
+
+
+def _digits(n: Column) -> Column:
+    """Hexadecimal digits by which n rows fall into buckets of BUCKET_ROWS, about."""
+    return F.greatest(F.ceil(F.log(16.0, n / F.lit(float(BUCKET_ROWS)))), F.lit(1)).cast("int")
+
+
 def curriculum(
     docs: DataFrame, *, weights: Sequence[float] = WEIGHTS, total: float = 1.5, cap: float = 2.0, tilt: float = 0.5,
     key: Column | None = None, kept: Sequence[str] = (),
 ) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, taken, start (of its place in the source's
-    stream), tilt and the columns in ``kept``. ``key`` orders a source's stream and defaults to a digest of doc_id."""
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) if key is None else key
-    n, digits = docs.count(), 1
-    while 16**digits * BUCKET_ROWS < n and digits < 8:
-        digits += 1
+    stream), tilt and the columns in ``kept``, its place (tessera_file, tessera_row) being among those it may name.
+    ``key`` orders a source's stream and defaults to a digest of doc_id."""
+    docs = docs if FILE in docs.columns else placed(docs)
+    body = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), body))) if key is None else key
     source = F.col("source").cast("string")
-    rows = docs.select(
-        "doc_id", source.alias("source"), F.coalesce(F.concat(F.lit("s"), source), F.lit("")).alias("name"),
-        word_count().alias("size"), key.alias("key"), F.substring(key, 1, digits).alias("bucket"), *kept,
-    )
+    narrow = stored(docs.select(
+        "doc_id", source.alias("source"), F.coalesce(F.concat(F.lit("s"), source), F.lit("")).alias("name"), word_count().alias("size"),
+        key.alias("key"), body.alias("body"), F.md5(F.concat_ws(":", FILE, F.col(ROW).cast("string"))).alias("spot"), *kept,
+    ), "sizes")
+    digits = narrow.agg(_digits(F.count(F.lit(1)).cast("double"))).first()[0] or 1
+    rows = narrow
+    for by, count in ((["key"], "texts"), (["key", "body"], "copies")):  # at most a row for BUCKET_ROWS rows
+        many = narrow.groupBy(*by).agg(F.count(F.lit(1)).cast("double").alias("n")).where(F.col("n") > BUCKET_ROWS)
+        rows = rows.join(many.select(*by, _digits(F.col("n")).alias(count)), by, "left")
+    apart = [F.coalesce(F.expr(f"substring({c}, 1, {n})"), F.lit("")) for c, n in (("body", "texts"), ("spot", "copies"))]
+    rows = rows.withColumn("bucket", F.concat(F.substring("key", 1, digits), *apart))
     buckets = rows.groupBy("name", "source", "bucket").agg(F.sum("size").alias("in_bucket"))
     sizes = buckets.groupBy("name", "source").agg(F.sum("in_bucket").alias("source_size"))
     targets = source_targets(sizes.select("source", "source_size"), weights, total, cap).withColumn(
@@ -86,15 +107,15 @@ def curriculum(
         buckets.withColumn("offset", F.coalesce(F.sum("in_bucket").over(upto), F.lit(0)))
         .select("name", "bucket", "offset").join(targets.drop("source"), "name")
     )
-    within = Window.partitionBy("name", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("local", F.coalesce(F.sum("size").over(within), F.lit(0))).join(offsets, ["name", "bucket"])
+    within = Window.partitionBy("name", "bucket").orderBy("key", "body", "spot").rowsBetween(Window.unboundedPreceding, -1)
+    dealt = rows.withColumn("local", F.coalesce(F.sum("size").over(within), F.lit(0))).join(offsets, ["name", "bucket"])
     quota = F.round("target").cast("long")
     passes = F.when(F.col("source_size") > 0, F.floor(quota / F.col("source_size"))).otherwise(0).cast("long")
     start = F.col("offset") + F.col("local")
     rest = quota - passes * F.col("source_size") - start
     taken = passes * F.col("size") + F.greatest(F.lit(0).cast("long"), F.least("size", rest))
     slope = F.when(F.pmod("rank", F.lit(2)) == 0, F.lit(tilt)).otherwise(F.lit(-tilt))
-    return placed.select(
+    return dealt.select(
         "doc_id", "source", "size", "source_size", "target", taken.alias("taken"), start.alias("start"), slope.alias("tilt"), *kept
     )
 
@@ -118,10 +139,11 @@ def occurrences(mixed: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, **settings) -> DataFrame:
     """The documents' own columns: a row for each pass that takes at least half of a document, sorted by position."""
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
-    taken = occurrences(curriculum(docs.select("doc_id", "source", "text", whole), kept=["whole"], **settings))
-    placed = taken.where(F.col("words") * 2 >= F.col("size")).select("whole", "position", "doc_id", "pass")
-    return placed.orderBy("position", "doc_id", "pass").select("whole.*")
+    rows = placed(docs)
+    taken = occurrences(curriculum(rows, kept=[FILE, ROW], **settings)).where(F.col("words") * 2 >= F.col("size"))
+    whole = rows.select(FILE, ROW, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"))
+    mixed = taken.select(FILE, ROW, "position", F.col("doc_id").alias("own"), "pass").join(whole, [FILE, ROW])
+    return mixed.orderBy("position", "own", "pass", FILE, ROW).select("whole.*")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

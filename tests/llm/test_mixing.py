@@ -72,3 +72,23 @@ def test_mix_keeps_columns_and_repeats(docs):
 def test_empty_table(docs):
     assert curriculum(docs()).count() == 0
     assert mix(docs()).count() == 0
+
+
+def test_repeated_and_missing_ids_are_spread(docs, monkeypatch):
+    """A third of the rows under one doc_id and a third under none: the sums hold, and no bucket has them all."""
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 10)
+    rows = [(7, "w " * (1 + i % 5), "a") for i in range(200)] + [(None, "w " * (1 + i % 3), "a") for i in range(200)] + [(i, "w w", "ab"[i % 2]) for i in range(1_000, 1_200)]
+    own = curriculum(docs(*rows)).collect()
+    assert len(own) == 600
+    for name in "ab":
+        part = sorted((r.start, r["size"]) for r in own if r.source == name)
+        assert [s for s, _ in part] == [sum(n for _, n in part[:i]) for i in range(len(part))]
+        assert sum(r.taken for r in own if r.source == name) == int(next(r.target for r in own if r.source == name) + 0.5)
+    assert sorted(map(str, own)) == sorted(map(str, curriculum(docs(*rows)).collect()))
+
+
+def test_very_long_text_and_clashing_names(docs):
+    df = docs((1, "w " * 300_000, "a"), (2, "w", "b"), (3, "w " * 50_000, None)).withColumns({c: F.lit(9) for c in ("key", "name", "bucket", "position", "pass", "own", "whole", "spot", "target")})
+    mixed = mix(df)
+    assert mixed.columns == df.columns and {r.doc_id for r in mixed.collect()} == {1, 2, 3}
+    assert {r["size"] for r in curriculum(df).collect()} == {300_000, 1, 50_000}
