@@ -515,8 +515,8 @@ def reachable_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- pages ----
 
-PAGES = """pg AS (SELECT l_orderkey, (l_linenumber - 1) // 2 AS page, list(l_linenumber::BIGINT ORDER BY l_linenumber) AS items FROM lineitem GROUP BY ALL),
-two AS (SELECT a.l_orderkey, a.items AS x, b.items AS y FROM pg a JOIN pg b ON a.l_orderkey = b.l_orderkey AND a.page = 0 AND b.page = 1)"""
+PAGES = """pn AS (SELECT l_orderkey, (l_linenumber - 1) // 2 AS page, list(l_linenumber::BIGINT ORDER BY l_linenumber) AS items FROM lineitem GROUP BY ALL),
+pg AS (SELECT *, row_number() OVER w AS n, first_value(items) OVER w AS x, count(*) OVER (PARTITION BY l_orderkey) AS n_pages FROM pn WINDOW w AS (PARTITION BY l_orderkey ORDER BY page))"""
 
 
 def line_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -525,10 +525,19 @@ def line_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.groupBy("l_orderkey", "page").agg(F.array_sort(F.collect_list("item")).alias("items")).withColumn("offset", F.col("page") * 2)
 
 
-def page_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = line_pages(spark, sf_dir)
-    first = pages.where("page = 0").select("l_orderkey", F.col("items").alias("x"))
-    return first.join(pages.where("page = 1").select("l_orderkey", F.col("items").alias("y")), "l_orderkey")
+def folded(pages: DataFrame, merge: Callable[[F.Column, F.Column], F.Column], more: Callable[[F.Column, F.Column], F.Column] = lambda first, items: items) -> DataFrame:
+    """Each order's pages, one merged into the other in their order: items of all, and the first and the last page.
+
+    ``merge`` gets what is there and the page that comes in; ``more`` adds to a later page what it shall hold besides.
+    An order of one page keeps it as it is.
+    """
+    rows = pages.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("page", "offset", "items"))).alias("pages"))
+    first, rest = F.element_at("pages", 1), F.slice("pages", 2, F.size("pages"))
+    page = lambda p, items: F.struct(p["page"].alias("page"), p["offset"].alias("offset"), items.alias("items"))
+    # a column of its own, since a lambda's variable can't be bound twice
+    rows = rows.withColumn("first", first).withColumn("rest", F.transform(rest, lambda p: page(p, more(F.col("first.items"), p["items"]))))
+    merged = F.aggregate("rest", F.col("first"), lambda a, p: page(p, merge(a, p)))
+    return rows.select("l_orderkey", merged["items"].alias("items"), "first", F.element_at("pages", -1).alias("last"), F.size("pages").alias("n_pages"))
 
 
 def listed(rows: DataFrame, items: str = "items", key: str = "l_orderkey") -> DataFrame:
@@ -537,43 +546,52 @@ def listed(rows: DataFrame, items: str = "items", key: str = "l_orderkey") -> Da
 
 
 def unnested(expression: str) -> str:
-    return f"WITH {PAGES}, m AS (SELECT l_orderkey, {expression} AS items FROM two) SELECT l_orderkey, unnest(range(len(items))) AS place, unnest(items) AS id FROM m"
+    """Places and ids of a list made of an order's pages."""
+    return f"WITH {PAGES}, m AS (SELECT l_orderkey, {expression} AS items FROM pg GROUP BY l_orderkey) SELECT l_orderkey, unnest(range(len(items))) AS place, unnest(items) AS id FROM m"
+
 
+def kept_last(more: str) -> str:
+    """All pages, the later ones with ``more`` at their ends, each id at its last place; an only page as it is."""
+    return f"""WITH {PAGES}, l AS (SELECT l_orderkey, max(n_pages) AS n_pages, flatten(list(CASE WHEN n = 1 THEN items ELSE items || {more} END ORDER BY page)) AS l FROM pg GROUP BY l_orderkey),
+m AS (SELECT l_orderkey, CASE WHEN n_pages = 1 THEN l ELSE list_filter(l, lambda v, i: NOT list_contains(l[i + 1:], v)) END AS items FROM l) SELECT l_orderkey, unnest(range(len(items))) AS place, unnest(items) AS id FROM m"""
 
-def kept_last(expression: str, where: str) -> str:
-    return f"WITH {PAGES}, l AS (SELECT l_orderkey, {expression} AS l FROM two WHERE {where}), m AS (SELECT l_orderkey, list_filter(l, lambda v, i: NOT list_contains(l[i + 1:], v)) AS items FROM l) SELECT l_orderkey, unnest(range(len(items))) AS place, unnest(items) AS id FROM m"
 
+def cursor_of(page: F.Column) -> F.Column:
+    return F.concat(F.lit("p"), page["page"].cast("string"))
 
-@query(unnested("x || y"))
+
+@query(unnested("flatten(list(items ORDER BY page))"))
 def cursor_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = page_pairs(spark, sf_dir)
-    return listed(rows.withColumn("items", pagination.merge_cursor(F.col("x"), F.col("y"), F.lit("a"), F.lit("b"))))
+    return listed(folded(line_pages(spark, sf_dir), lambda a, p: pagination.merge_cursor(a["items"], p["items"], cursor_of(a), cursor_of(p))))
 
 
-@query(unnested("y || x"))
+@query(unnested("flatten(list(items ORDER BY page DESC))"))
 def cursor_backward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = page_pairs(spark, sf_dir)
-    return listed(rows.withColumn("items", pagination.merge_cursor(F.col("x"), F.col("y"), F.lit(None).cast("string"), F.lit(None).cast("string"), backward=True)))
+    none = F.lit(None).cast("string")
+    return listed(folded(line_pages(spark, sf_dir), lambda a, p: pagination.merge_cursor(a["items"], p["items"], none, none, backward=True)))
 
 
-@query(unnested("y"))
+@query(unnested("arg_max(items, page)"))
 def cursor_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = page_pairs(spark, sf_dir)
-    return listed(rows.withColumn("items", pagination.merge_cursor(F.col("x"), F.col("y"), F.lit("a"), F.lit("a"))))
+    """A page under the cursor that is there takes its place."""
+    return listed(folded(line_pages(spark, sf_dir), lambda a, p: pagination.merge_cursor(a["items"], p["items"], F.lit("a"), F.lit("a"))))
 
 
-@query(kept_last("x || y || list_filter(x, lambda v: v = 2)", "list_contains(x, 2)"))
+@query(kept_last("list_filter(x, lambda v: v = 2)"))
 def cursor_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = page_pairs(spark, sf_dir).withColumn("y", F.concat("y", F.filter("x", lambda v: v["id"] == 2)))
-    rows = rows.where(F.exists("x", lambda v: v["id"] == 2))
-    return listed(rows.withColumn("items", pagination.merge_cursor(F.col("x"), F.col("y"), F.lit("a"), F.lit("b"), key="id")))
+    """Later pages end with item 2 of the first, which moves."""
+    again = lambda first, items: F.concat(items, F.filter(first, lambda v: v["id"] == 2))
+    return listed(folded(line_pages(spark, sf_dir), lambda a, p: pagination.merge_cursor(a["items"], p["items"], cursor_of(a), cursor_of(p), key="id"), again))
 
 
-@query(unnested("x[1:1] || y || x[2 + len(y):]"))
+@query(f"""WITH RECURSIVE {PAGES}, f AS (SELECT l_orderkey, n, page AS o, items FROM pg WHERE n = 1 UNION ALL
+SELECT f.l_orderkey, g.n, g.page, list_filter([CASE WHEN p >= g.page AND p < g.page + len(g.items) THEN g.items[p - g.page + 1] WHEN p >= f.o AND p < f.o + len(f.items) THEN f.items[p - f.o + 1] END
+    FOR p IN range(0, greatest(f.o + len(f.items), g.page + len(g.items)))], lambda v: v IS NOT NULL)
+FROM f JOIN pg g ON g.l_orderkey = f.l_orderkey AND g.n = f.n + 1),
+m AS (SELECT l_orderkey, arg_max(items, n) AS items FROM f GROUP BY l_orderkey) SELECT l_orderkey, unnest(range(len(items))) AS place, unnest(items) AS id FROM m""")
 def offset_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The second page laid over from place 1 on."""
-    rows = page_pairs(spark, sf_dir)
-    return listed(rows.withColumn("items", pagination.merge_offset(F.col("x"), F.col("y"), F.lit(0), F.lit(1))))
+    """Each page laid over what is there from the place of its number on."""
+    return listed(folded(line_pages(spark, sf_dir), lambda a, p: pagination.merge_offset(a["items"], p["items"], a["page"], p["page"])))
 
 
 @query(f"""WITH {PAGES}, sp AS (SELECT l_orderkey, page, unnest(range(len(items))) + page * 2 AS place, unnest(items) AS id FROM pg), la AS (SELECT l_orderkey, place, arg_max(id, page) AS id FROM sp GROUP BY ALL),
@@ -586,22 +604,25 @@ def edges_of(c: str) -> F.Column:
     return F.transform(c, lambda v: F.struct(v["id"].alias("id"), F.concat(F.lit("c"), v["id"].cast("string")).alias("cursor")))
 
 
-@query(kept_last("x || y || list_filter(x, lambda v: v = 1)", "list_contains(x, 1)"))
+@query(kept_last("list_filter(x, lambda v: v = 1)"))
 def relay_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An edge whose cursor comes again moves to its later place."""
-    rows = page_pairs(spark, sf_dir).where(F.exists("x", lambda v: v["id"] == 1))
-    rows = rows.withColumns({"x": edges_of("x"), "y": F.concat(edges_of("y"), F.filter(edges_of("x"), lambda e: e["id"] == 1))})
-    return listed(rows.withColumn("items", pagination.merge_edges(F.col("x"), F.col("y"))))
+    pages = line_pages(spark, sf_dir).withColumn("items", edges_of("items"))
+    again = lambda first, items: F.concat(items, F.filter(first, lambda e: e["id"] == 1))
+    return listed(folded(pages, lambda a, p: pagination.merge_edges(a["items"], p["items"]), again))
 
 
-@query(f"WITH {PAGES} SELECT l_orderkey, 'c' || x[1] AS start_cursor, 'c' || y[len(y)] AS end_cursor, false AS has_previous, len(y) = 2 AS has_next FROM two")
+@query(f"WITH {PAGES} SELECT l_orderkey, 'c' || arg_min(items, page)[1] AS start_cursor, 'c' || list_last(arg_max(items, page)) AS end_cursor, false AS has_previous, len(arg_max(items, page)) = 2 AS has_next FROM pg GROUP BY l_orderkey")
 def relay_pageinfo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def info(c: str) -> F.Column:
+    """The start of the first page and the end of the last, whatever came between."""
+
+    def info(c: str, later: F.Column) -> F.Column:
         cursor = lambda x: F.concat(F.lit("c"), x["id"].cast("string"))
-        return F.struct((F.size(c) == 2).alias("hasNextPage"), F.lit(c == "y").alias("hasPreviousPage"), cursor(F.element_at(c, 1)).alias("startCursor"), cursor(F.element_at(c, -1)).alias("endCursor"))
+        return F.struct((F.size(c) == 2).alias("hasNextPage"), later.alias("hasPreviousPage"), cursor(F.element_at(c, 1)).alias("startCursor"), cursor(F.element_at(c, -1)).alias("endCursor"))
 
-    rows = page_pairs(spark, sf_dir).withColumns({"a": info("x"), "b": info("y")})
-    told = rows.withColumn("i", pagination.merge_page_info(F.col("a"), F.col("b"), F.col("x"), F.col("y")))
+    rows = folded(line_pages(spark, sf_dir), lambda a, p: p["items"])
+    told = rows.withColumns({"a": info("first.items", F.lit(False)), "b": info("last.items", F.col("n_pages") > 1)})
+    told = told.withColumn("i", pagination.merge_page_info(F.col("a"), F.col("b"), F.col("first.items"), F.col("last.items")))
     return told.select("l_orderkey", F.col("i.startCursor").alias("start_cursor"), F.col("i.endCursor").alias("end_cursor"), F.col("i.hasPreviousPage").alias("has_previous"), F.col("i.hasNextPage").alias("has_next"))
 
 
