@@ -61,3 +61,20 @@ def test_empty_tables(docs, items):
     assert containments(docs(), items((1, ITEM))).count() == 0
     assert containments(docs((1, ITEM)), items()).count() == 0
     assert without_leaks(docs((1, ITEM)), items()).count() == 1
+
+
+def test_the_sql_finds_short_items_too(spark, docs, items, rows):
+    import duckdb
+
+    from tessera.llm.decontamination import ORACLE
+
+    benchmark = [(1, ITEM), (2, "Only Three words"), (3, None), (4, ""), (5, "two words"), (6, "word")]
+    documents = [(1, f"x {ITEM} y"), (2, "only three, WORDS and two words"), (3, None), (4, "a word"), (5, "words two")]
+    con = duckdb.connect()
+    con.sql("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.sql("CREATE TABLE benchmark (item_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", documents)
+    con.executemany("INSERT INTO benchmark VALUES (?, ?)", benchmark)
+    found = sorted(tuple(r[:4]) for r in con.sql(ORACLE).fetchall())
+    assert found == rows(containments(docs(*documents), items(*benchmark)), *PAIRS) == brute(documents, benchmark)
+    assert {i for _, i, *_ in found} == {1, 2, 5, 6}
