@@ -16,13 +16,12 @@ Texts with equal sets of shingles are one point.
    For sets at the threshold FAR is over four standard deviations above the distance to be expected, so that this step
    may miss a link that no other path makes up for, once in about 100,000.
 
-Sets are of 64-bit hashes. Words are separated by ASCII white space, and only A-Z are lower-cased; a text of fewer than
-five words is one shingle; texts without words are copies of each other.
+Sets are of 64-bit hashes (``shingles``); texts without words are copies of each other.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -33,8 +32,11 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import FILE, ROW, passing, stored
 from tessera.llm.components import components, nearest_forest
+from tessera.llm.shingles import distinct, hashed, majorities
 
 WIDTH, SEED = 5, 42
+#: Texts that a task holds as words at once, about.
+ROWS = 1_000
 SAMPLE, COMMON, MOST_COMMON = 20_000, 4, 500_000
 #: Points that a shingle pairs, and those of a larger group in a cell.
 HOT, SALT = 50, 1_000
@@ -42,36 +44,19 @@ HOT, SALT = 50, 1_000
 SIGN_WORDS, FAR, FAR_FEW, FEW = 8, 115, 160, 64
 
 
-def majority(hashes: np.ndarray) -> int:
-    """The bits that over half of the 64-bit hashes have."""
-    counts = np.zeros(64, np.int64)
-    for i in range(0, len(hashes), 8_192):
-        bits = np.unpackbits(hashes[i : i + 8_192].astype("<u8", copy=False).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(axis=0, dtype=np.int32)
-    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
-
-
 def signature(hashes: np.ndarray) -> np.ndarray:
     """The wide fingerprint."""
-    words = []
+    words, bounds = [], np.array([0, len(hashes)])
     for i in range(SIGN_WORDS):
         mixed = (hashes ^ (hashes >> np.uint64(29))) * np.uint64((0x9E3779B97F4A7C15 * (2 * i + 1) ** 3) % 2**64)
-        words.append(majority(mixed ^ (mixed >> np.uint64(32))))
-    return np.array(words, np.uint64)
+        words.append(majorities(mixed ^ (mixed >> np.uint64(32)), bounds))
+    return np.concatenate(words)
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """Hashes of a text's distinct shingles, ascending."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) <= WIDTH:
-        return np.array([digest(joined, SEED)], np.uint64)
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(lengths + 1) - 1
-    starts = (ends - lengths).tolist()
-    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[WIDTH - 1 :].tolist(), strict=False)], np.uint64))
+def shingle_sets(texts: Sequence[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Some texts at a time: the hashes of each one's distinct shingles, ascending, and their bounds."""
+    for _, hashes, bounds in hashed(texts, WIDTH, SEED):
+        yield distinct(hashes, bounds)
 
 
 def first(found: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -90,10 +75,13 @@ def _sets(rows: DataFrame, *kept: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, len(batch), 500):
-                part = batch.slice(i, 500)
-                sets = [shingles(x).view(np.int64) for x in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in kept), pa.array(sets, pa.list_(pa.int64()))], names=[*kept, "held"])
+            for i in range(0, len(batch), ROWS):
+                part, at = batch.slice(i, ROWS), 0
+                for found, bounds in shingle_sets(part.column("text").to_pylist()):
+                    n = len(bounds) - 1
+                    held = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(found.view(np.int64)))
+                    yield pa.RecordBatch.from_arrays([*(part.column(k).slice(at, n) for k in kept), held], names=[*kept, "held"])
+                    at += n
 
     return rows.select(*kept, "text").mapInArrow(run, f"{kinds}, held array<bigint>")
 
@@ -116,13 +104,15 @@ def marked(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             points, sizes, prints, firsts = [], [], [], []
-            for text in batch.column("text").to_pylist():
-                found = shingles(text)
-                points.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
-                sizes.append(len(found))
-                prints.append(majority(found))
-                firsts.append(first(found, *common.value).view(np.int64))
-            numbers = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (points, sizes, prints)]
+            for i in range(0, len(batch), ROWS):
+                for found, bounds in shingle_sets(batch.column("text").slice(i, ROWS).to_pylist()):
+                    prints.append(majorities(found, bounds))
+                    sizes.append(np.diff(bounds))
+                    for own in np.split(found, bounds[1:-1]):
+                        points.append(xxhash.xxh64_intdigest(own.tobytes(), SEED))
+                        firsts.append(first(own, *common.value).view(np.int64))
+            numbers = [np.array(points, np.uint64), *(np.concatenate([np.zeros(0, np.uint64), *x]).astype(np.uint64) for x in (sizes, prints))]
+            numbers = [pa.array(x.view(np.int64)) for x in numbers]
             columns = [batch.column("doc_id"), batch.column(FILE), batch.column(ROW), *numbers, pa.array(firsts, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", FILE, ROW, "point", "n", "fp", "firsts"])
 
@@ -176,8 +166,11 @@ def _hot(hot: DataFrame, rows: DataFrame, points: DataFrame) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [signature(shingles(x)).tobytes() for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("point"), pa.array(found, pa.binary())], names=["point", "sign"])
+            told = []
+            for i in range(0, len(batch), ROWS):
+                for found, bounds in shingle_sets(batch.column("text").slice(i, ROWS).to_pylist()):
+                    told += [signature(own).tobytes() for own in np.split(found, bounds[1:-1])]
+            yield pa.RecordBatch.from_arrays([batch.column("point"), pa.array(told, pa.binary())], names=["point", "sign"])
 
     signs = rows.select("text", FILE, ROW).join(places, [FILE, ROW]).select("point", "text").mapInArrow(sign, "point bigint, sign binary")
     signs = stored(signs, "signs")

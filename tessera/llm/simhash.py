@@ -25,43 +25,41 @@ empty result; further columns are kept by ``near_dedup`` and ignored by ``near_d
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import FILE, ROW, placed_rows, stored
 from tessera.llm.components import components, nearest_forest
-from tessera.llm.near_copies import majority, without_near_copies
+from tessera.llm.near_copies import without_near_copies
+from tessera.llm.shingles import hashed, majorities
 
-WIDTH, SEED, BITS, RADIUS = 4, 42, 64, 4
+WIDTH, SEED, RADIUS = 4, 42, 4
 BLOCKS = ((0, 22), (22, 21), (43, 21))
 SAMPLE, LEAF, DEPTH = 20_000, 512, 20
 #: Sampled points below which a node doesn't take its median from them.
 ENOUGH = 8
 #: Points whose visits a task holds at once.
 VISIT_POINTS = 4_096
+#: Texts that a task holds as words at once, about.
+ROWS = 1_000
 #: Points at home and visitors in a cell.
 HOME_CELL, VISITOR_CELL = 4_096, 65_536
 
 
+def prints(texts: Sequence[str | None], width: int = WIDTH) -> np.ndarray:
+    """The texts' fingerprints, unsigned."""
+    found = [majorities(hashes, bounds) for _, hashes, bounds in hashed(texts, width, SEED)]
+    return np.concatenate([np.zeros(0, np.uint64), *found])
+
+
 def fingerprint(text: str | None, width: int = WIDTH) -> int:
     """Unsigned; words are separated by ASCII white space, and only A-Z are lower-cased."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(lengths + 1) - 1
-    starts = (ends - lengths).tolist()
-    digest = xxhash.xxh64_intdigest
-    if len(words) <= width:
-        return digest(joined, SEED)
-    return majority(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[width - 1 :].tolist(), strict=False)], "<u8"))
+    return int(prints([text], width)[0])
 
 
 def fingerprints(docs: DataFrame, *kept: str) -> DataFrame:
@@ -70,8 +68,10 @@ def fingerprints(docs: DataFrame, *kept: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(x) for x in batch.column("text").to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), pa.array(found, pa.int64())], names=[*kept, "fp"])
+            for i in range(0, len(batch), ROWS):
+                part = batch.slice(i, ROWS)
+                found = prints(part.column("text").to_pylist()).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in kept), pa.array(found, pa.int64())], names=[*kept, "fp"])
 
     return docs.select(*kept, "text").mapInArrow(run, f"{kinds}, fp bigint")
 
