@@ -83,19 +83,19 @@ def curriculum(
     stream), tilt and the columns in ``kept``, its place (tessera_file, tessera_row) being among those it may name.
     ``key`` orders a source's stream and defaults to a digest of doc_id."""
     docs = docs if FILE in docs.columns else placed(docs)
-    body = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), body))) if key is None else key
+    body = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), body.cast("string")))) if key is None else key
     source = F.col("source").cast("string")
     narrow = stored(docs.select(
         "doc_id", source.alias("source"), F.coalesce(F.concat(F.lit("s"), source), F.lit("")).alias("name"), word_count().alias("size"),
-        key.alias("key"), body.alias("body"), F.md5(F.concat_ws(":", FILE, F.col(ROW).cast("string"))).alias("spot"), *kept,
+        key.alias("key"), body.alias("body"), F.xxhash64(FILE, ROW).alias("spot"), *kept,
     ), "sizes")
     digits = narrow.agg(_digits(F.count(F.lit(1)).cast("double"))).first()[0] or 1
     rows = narrow
     for by, count in ((["key"], "texts"), (["key", "body"], "copies")):  # at most a row for BUCKET_ROWS rows
         many = narrow.groupBy(*by).agg(F.count(F.lit(1)).cast("double").alias("n")).where(F.col("n") > BUCKET_ROWS)
         rows = rows.join(many.select(*by, _digits(F.col("n")).alias(count)), by, "left")
-    apart = [F.coalesce(F.expr(f"substring({c}, 1, {n})"), F.lit("")) for c, n in (("body", "texts"), ("spot", "copies"))]
+    apart = [F.coalesce(F.expr(f"substring(lpad(hex({c}), 16, '0'), 1, {n})"), F.lit("")) for c, n in (("body", "texts"), ("spot", "copies"))]
     rows = rows.withColumn("bucket", F.concat(F.substring("key", 1, digits), *apart))
     buckets = rows.groupBy("name", "source", "bucket").agg(F.sum("size").alias("in_bucket"))
     sizes = buckets.groupBy("name", "source").agg(F.sum("in_bucket").alias("source_size"))
