@@ -811,7 +811,7 @@ def sync_retries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(n + 1, int(w)) for n, w in enumerate(waits)], "attempt bigint, wait bigint")
 
 
-@query("SELECT 'old-' || r_regionkey AS mutation_id, r_regionkey + 1 AS place FROM region UNION ALL SELECT n_nationkey::VARCHAR, n_nationkey + 6 FROM nation")
+@query("SELECT 'old-' || r_regionkey AS mutation_id, (r_regionkey + 1)::BIGINT AS place FROM region UNION ALL SELECT n_nationkey::VARCHAR, n_nationkey + 6 FROM nation")
 def sync_adopted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Another session's writes come first, as they are, and once."""
     _, one = synced(spark, sf_dir, Script())
