@@ -95,7 +95,9 @@ def curriculum(
     for by, count in ((["key"], "texts"), (["key", "body"], "copies")):  # at most a row for BUCKET_ROWS rows
         many = narrow.groupBy(*by).agg(F.count(F.lit(1)).cast("double").alias("n")).where(F.col("n") > BUCKET_ROWS)
         rows = rows.join(many.select(*by, _digits(F.col("n")).alias(count)), by, "left")
-    apart = [F.coalesce(F.expr(f"substring(lpad(hex({c}), 16, '0'), 1, {n})"), F.lit("")) for c, n in (("body", "texts"), ("spot", "copies"))]
+    # copies are together whatever their places, so that the mix doesn't depend on these
+    some = {"body": "if(copies IS NULL, texts, 16)", "spot": "copies"}
+    apart = [F.coalesce(F.expr(f"substring(lpad(hex({c}), 16, '0'), 1, {n})"), F.lit("")) for c, n in some.items()]
     rows = rows.withColumn("bucket", F.concat(F.substring("key", 1, digits), *apart))
     buckets = rows.groupBy("name", "source", "bucket").agg(F.sum("size").alias("in_bucket"))
     sizes = buckets.groupBy("name", "source").agg(F.sum("in_bucket").alias("source_size"))
