@@ -49,6 +49,8 @@ VISIT_POINTS = 4_096
 ROWS = 1_000
 #: Points at home and visitors in a cell.
 HOME_CELL, VISITOR_CELL = 4_096, 65_536
+#: Pairs that a task compares at once.
+PAIRS = 1_000_000
 
 
 def prints(texts: Sequence[str | None], width: int = WIDTH) -> np.ndarray:
@@ -141,7 +143,7 @@ def linked(home: np.ndarray, visitors: np.ndarray, radius: int = RADIUS) -> tupl
     """A minimum spanning forest (a, b) of the links between the two sets."""
     points = np.unique(np.concatenate([home, visitors]))
     home = np.unique(home)
-    of_home, step, every = np.searchsorted(points, home), max(1, 4_000_000 // max(1, len(home))), np.arange(len(points))
+    of_home, step, every = np.searchsorted(points, home), max(1, PAIRS // max(1, len(home))), np.arange(len(points))
     found = [np.zeros((3, 0), np.int64)]
     for i in range(0, len(visitors), step):
         part = visitors[i : i + step]
