@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,14 +34,12 @@ class Membership(StatefulProcessor):
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
         held = self.state.get()
         was = bool(held) and held[0] == "y"
-        out = []
         every = pd.concat(list(rows)).sort_values("seq")  # a micro-batch gives no order
-        for seq, member in zip(every["seq"], every["member"], strict=True):
-            if bool(member) != was:
-                was = bool(member)
-                out.append((*key, int(seq), "add" if was else "remove"))
-        self.state.update(("y" if was else "n",))
-        yield pd.DataFrame(out, columns=["entity_type", "id", "seq", "delta"])
+        member = every["member"].to_numpy(bool)
+        turns = member != np.append(was, member[:-1])
+        self.state.update(("y" if member[-1] else "n",))
+        told = np.where(member[turns], "add", "remove").astype(object)
+        yield pd.DataFrame({"entity_type": key[0], "id": key[1], "seq": every["seq"].to_numpy()[turns], "delta": told}, columns=["entity_type", "id", "seq", "delta"])
 
     def close(self) -> None:
         pass
