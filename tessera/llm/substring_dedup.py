@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import FILE, ROW, placed_rows, stored
+from tessera.llm.shingles import xxh64
 
 WINDOW, ROUNDS, SPAN, LONG = 50, 7, 16, 5
 #: Words that a task rewrites at once.
@@ -109,12 +111,13 @@ class Windows:
 
     def __init__(self, texts: list[list[bytes]], window: int = WINDOW) -> None:
         self.window = window
-        digest = xxhash.xxh64_intdigest
         lengths = np.array([len(x) for x in texts], np.int64)
         self.ends = np.cumsum(lengths)
         n = int(self.ends[-1]) if len(texts) else 0
         self.firsts = self.ends - lengths
-        words = np.fromiter((digest(w) for x in texts for w in x), np.uint64, n)
+        flat = list(chain.from_iterable(texts))
+        sizes = np.fromiter(map(len, flat), np.int64, n)
+        words = xxh64(b" ".join(flat), np.cumsum(sizes + 1) - 1 - sizes, sizes, 0)
         self.n, owner = n, np.repeat(np.arange(len(texts)), np.diff(self.ends, prepend=0))
         self.whole = np.arange(n) + window <= (self.ends[owner] if n else 0)
         found = Rewritten(words, self.ends)
