@@ -31,6 +31,8 @@ from tessera.llm.common import hadoop_path, scratch, stored, whole
 VOCABULARY = "word_bpe_49k.json"
 #: Pieces that a worker remembers; it starts anew beyond.
 MEMO = 200_000
+#: Rows of one content beyond which it is a hot one.
+HOT = 1_000
 CACHE = "digest string, version string, n_tokens bigint"
 #: The split that the short cut reproduces, as the tokenizer's file states it.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -137,7 +139,8 @@ def token_counts(docs: DataFrame, cache: str, *, vocabulary: str = VOCABULARY, l
         spark.createDataFrame([], CACHE).write.parquet(cache)
     known = known_counts(spark, cache, own)
     # one document a digest is encoded: its identifier is dealt evenly, however large a group of copies is
-    chosen = keyed.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).join(known, "digest", "left_anti")
+    groups = stored(keyed.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")), "groups")
+    chosen = groups.join(known, "digest", "left_anti")
     named = chosen.where("doc_id IS NOT NULL")
     texts = bodies.join(named, "doc_id").where(F.sha2("body", 256) == F.col("digest")).select("digest", "body")
     if not chosen.where("doc_id IS NULL").isEmpty():
@@ -146,7 +149,12 @@ def token_counts(docs: DataFrame, cache: str, *, vocabulary: str = VOCABULARY, l
     counted = encode(texts, vocabulary).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     counted.select("digest", F.lit(own).alias("version"), "n_tokens").write.mode("append").parquet(cache)
     counts = known_counts(spark, cache, own)
-    return keyed.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    # the counts of hot digests are few (one for HOT rows at least), and meet their rows apart from the others
+    hot = counts.join(groups.where(F.col("copies") > HOT), "digest", "left_semi").select("digest", F.col("n_tokens").alias("hot_tokens"))
+    told = keyed.join(stored(hot, "hot"), "digest", "left")
+    rest = told.where("hot_tokens IS NULL").drop("hot_tokens").join(counts, "digest")
+    every = told.where("hot_tokens IS NOT NULL").withColumnRenamed("hot_tokens", "n_tokens").unionByName(rest)
+    return every.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,3 +59,11 @@ def test_another_library_is_another_version(monkeypatch):
     before = tc.version(path)
     monkeypatch.setattr(tc.metadata, "version", lambda name: "99")
     assert tc.version(path) != before and tc.library_version("x.model") == "sentencepiece 99"
+
+
+def test_hot_contents(docs, rows, monkeypatch, tmp_path):
+    monkeypatch.setattr(tc, "HOT", 5)
+    given = [(i, "hot words") for i in range(40)] + [(100 + i, f"text {i}") for i in range(10)] + [(None, "hot words")] * 3 + [(200 + i, None) for i in range(7)]
+    library = tc.library_counter(tc.tokenizer_path(tc.VOCABULARY))
+    expected = sorted([(i, len((t or "").encode()), library(t or ""), False) for i, t in given], key=repr)
+    assert rows(tc.token_counts(docs(*given), f"file://{tmp_path}/cache"), *COLUMNS) == expected
