@@ -78,13 +78,14 @@ def durable_fold(log: DataFrame, fields: Sequence[str], key: Sequence[str] = KEY
 def images(log: DataFrame, fields: Sequence[str], key: Sequence[str] = KEY) -> DataFrame:
     """Each change with the entity after it (``now_*``, ``exists``) and before it (``prev_*``, ``existed``).
 
-    Two levels where ``seq`` is a whole number: what each piece of a key's log comes to is summed up first and carried
-    into the next ones; rows are only ranked within a piece.
+    Two levels where ``seq`` is a whole number and the log has several pieces: what each piece of a key's log comes to
+    is summed up first and carried into the next ones; rows are only ranked within a piece.
     """
-    whole = isinstance(log.schema["seq"].dataType, T.IntegralType)
+    ends = log.agg(F.min("seq"), F.max("seq")).first() if isinstance(log.schema["seq"].dataType, T.IntegralType) else (None, None)
+    if ends[0] is None or ends[0] // IMAGE_PIECE == ends[1] // IMAGE_PIECE:
+        return _imaged(log, fields, list(key))
     piece = [*key, "image_piece"]
-    log = log.withColumn("image_piece", F.floor(F.col("seq") / IMAGE_PIECE) if whole else F.lit(0).cast("long"))
-
+    log = log.withColumn("image_piece", F.floor(F.col("seq") / IMAGE_PIECE))
     reset = F.max(F.when(_resets(), F.col("seq"))).alias("reset")
     last = [F.max(F.when(_writes() & F.col(f).isNotNull(), F.struct("seq", F.col(f).alias("x")))).alias(f) for f in fields]
     sums = log.groupBy(*piece).agg(reset, F.max_by("op", "seq").alias("ended"), *last)
@@ -96,17 +97,26 @@ def images(log: DataFrame, fields: Sequence[str], key: Sequence[str] = KEY) -> D
     told = sums.select(*piece, "ended", *said)
     carried = told.select(*piece, alive.alias("alive"), *(F.last(f, ignorenulls=True).over(earlier)["x"].alias(f"carried_{f}") for f in fields))
 
-    in_order = Window.partitionBy(*piece).orderBy("seq")
-    epoch = F.sum(_resets().cast("int")).over(in_order.rowsBetween(Window.unboundedPreceding, 0))
-    life = Window.partitionBy(*piece, "epoch").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    now = log.join(carried, piece).withColumn("epoch", epoch).withColumn("exists", _writes())
-    own = lambda f: F.last(F.when(_writes(), F.col(f)), ignorenulls=True).over(life)
-    before = lambda f: F.when(F.col("alive") & (F.col("epoch") == 0), F.col(f"carried_{f}"))
-    now = now.withColumns({f"now_{f}": F.when(F.col("exists"), F.coalesce(own(f), before(f))) for f in fields})
-    first = F.lag("exists").over(in_order).isNull()
-    prev = {f"prev_{f}": F.when(first, F.when(F.col("alive"), F.col(f"carried_{f}"))).otherwise(F.lag(f"now_{f}").over(in_order)) for f in fields}
-    made = now.withColumns({**prev, "existed": F.coalesce(F.lag("exists").over(in_order), F.col("alive"))})
-    return made.drop("epoch", "image_piece", "alive", *(f"carried_{f}" for f in fields))
+    alive, before = F.col("alive"), {f: F.when(F.col("alive"), F.col(f"carried_{f}")) for f in fields}
+    return _imaged(log.join(carried, piece), fields, piece, alive, before).drop("image_piece", "alive", *(f"carried_{f}" for f in fields))
+
+
+def _imaged(log: DataFrame, fields: Sequence[str], part: Sequence[str], alive: Column | None = None, before: dict[str, Column] | None = None) -> DataFrame:
+    """The images within each part, at whose start an entity is there if ``alive``, with the fields ``before``."""
+    in_order = Window.partitionBy(*part).orderBy("seq")
+    epoch = F.coalesce(F.sum(_resets().cast("int")).over(in_order.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    life = Window.partitionBy(*part, "epoch").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    now = log.withColumn("epoch", epoch).withColumn("exists", _writes())
+    own = {f: F.last(F.when(_writes(), F.col(f)), ignorenulls=True).over(life) for f in fields}
+    if before is not None:
+        own = {f: F.coalesce(c, F.when(F.col("epoch") == 0, before[f])) for f, c in own.items()}
+    now = now.withColumns({f"now_{f}": F.when(F.col("exists"), c) for f, c in own.items()})
+    prev = {f: F.lag(f"now_{f}").over(in_order) for f in fields}
+    if before is not None:
+        first = F.lag("exists").over(in_order).isNull()
+        prev = {f: F.when(first, before[f]).otherwise(c) for f, c in prev.items()}
+    existed = F.coalesce(F.lag("exists").over(in_order), F.lit(False) if alive is None else alive)
+    return now.withColumns({**{f"prev_{f}": c for f, c in prev.items()}, "existed": existed}).drop("epoch")
 
 
 def _strictly_differs(a: Column, b: Column, floating: bool) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.changes import KEY
+from tessera.sources.scratch import stored
 
 MAX_ROWS, MAX_BYTES, FLAT_BYTES = 1_000, 1 << 20, 256
 
@@ -16,10 +17,11 @@ MAX_ROWS, MAX_BYTES, FLAT_BYTES = 1_000, 1 << 20, 256
 def write_ids(events: DataFrame, prefix: str = "w") -> DataFrame:
     """Adds write_no and mutation_id: every event but ``evict`` takes a number, whether it yields rows or not.
 
-    Numbers run over the whole log: counts of pieces of it are summed first, and rows are numbered within a piece.
+    Numbers run over the whole log: counts of pieces of it are summed first, and rows are numbered within a piece. The
+    events are stored for it, so that what they are made of is not made again by each use of them.
     """
     piece = F.floor(F.col("seq") / 10_000)
-    counted = events.withColumn("piece", piece).withColumn("takes", (F.col("op") != "evict").cast("long"))
+    counted = stored(events.withColumn("piece", piece).withColumn("takes", (F.col("op") != "evict").cast("long")), "events")
     sums = counted.groupBy("piece").agg(F.sum("takes").alias("in_piece"))
     before = F.coalesce(F.sum("in_piece").over(Window.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     within = F.sum("takes").over(Window.partitionBy("piece").orderBy("seq"))
