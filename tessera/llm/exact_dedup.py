@@ -2,7 +2,7 @@
 
 Arrivals go to memtables (the scan's tasks, dealt to a fixed number of tables), one after the other. A memtable is
 flushed as a run: one row per digest, sorted by digest, with the least and the greatest digest and a filter, a table
-of bitmaps in which each digest has three bits. Before that run counts as part of the index, its digests are probed
+of bitmaps in which each digest has three bits (made when the run is first probed: some are merged before). Before that run counts as part of the index, its digests are probed
 against the older runs, newest first: only those between a run's ends whose bits are all set are looked up in it.
 Digests that occur twice in a memtable or are found in an older run are the hits. Once ``fanout`` runs of a level have
 gathered, compaction merges them to a run of the next level and keeps one identifier a digest (the smallest or the
@@ -39,6 +39,12 @@ def sha256(body: Column) -> Column:
 class Run:
     name: str
     level: int
+
+
+@dataclass(frozen=True)
+class Filter:
+    """A run's ends, and the blocks of its table of bitmaps."""
+
     n_blocks: int
     least: bytes
     most: bytes
@@ -56,28 +62,33 @@ class DigestIndex:
             raise ValueError("a merge takes two runs at least")
         self.spark, self.path, self.keep, self.fanout, self.made = spark, path, keep, fanout, 0
         self.runs: list[Run] = []
+        self.filters: dict[str, Filter] = {}
 
     def _best(self, column: str | Column) -> Column:
         return (F.min if self.keep == "smallest" else F.max)(column)
 
     def _write(self, rows: DataFrame, level: int, files: int | None = None) -> Run | None:
-        """A run with its filter; None if there are no rows."""
+        """A run; None if there are no rows."""
         name, self.made = f"level{level}-{self.made}", self.made + 1
         rows = rows if files is None else rows.coalesce(files)
         options = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
         rows.sortWithinPartitions("digest").write.options(**options).parquet(f"{self.path}/{name}")
-        n, least, most = self._read(name).agg(F.count(F.lit(1)), F.min("digest"), F.max("digest")).first()
-        if not n:
-            return None
-        run = Run(name, level, -(-n * BITS_A_KEY // BLOCK), bytes(least), bytes(most))
-        spots = self._read(name).select(self._block(run).alias("block"), F.explode(F.array(*self._spots())).alias("spot"))
-        # dealt by block first, so that a task holds whole bitmaps and sends none
-        spots.repartition("block").groupBy("block").agg(F.bitmap_construct_agg("spot").alias("bits")).write.parquet(f"{self.path}/filter-{name}")
-        return run
+        return None if self._read(name).isEmpty() else Run(name, level)
+
+    def filter(self, run: Run) -> Filter:
+        """The filter of a run that has rows, made once."""
+        if run.name not in self.filters:
+            n, least, most = self._read(run.name).agg(F.count(F.lit(1)), F.min("digest"), F.max("digest")).first()
+            made = Filter(-(-n * BITS_A_KEY // BLOCK), bytes(least), bytes(most))
+            spots = self._read(run.name).select(self._block(made).alias("block"), F.explode(F.array(*self._spots())).alias("spot"))
+            # dealt by block first, so that a task holds whole bitmaps and sends none
+            spots.repartition("block").groupBy("block").agg(F.bitmap_construct_agg("spot").alias("bits")).write.parquet(f"{self.path}/filter-{run.name}")
+            self.filters[run.name] = made
+        return self.filters[run.name]
 
     @staticmethod
-    def _block(run: Run) -> Column:
-        return F.pmod(F.xxhash64("digest"), F.lit(run.n_blocks))
+    def _block(of: Filter) -> Column:
+        return F.pmod(F.xxhash64("digest"), F.lit(of.n_blocks))
 
     @staticmethod
     def _spots() -> list[Column]:
@@ -101,11 +112,12 @@ class DigestIndex:
 
     def maybe(self, asked: DataFrame, run: Run) -> DataFrame:
         """The rows of ``asked`` whose digests lie between the run's ends and pass its filter."""
-        ends = F.col("digest").between(F.lit(run.least), F.lit(run.most))
+        own = self.filter(run)
+        ends = F.col("digest").between(F.lit(own.least), F.lit(own.most))
         bits = self.spark.read.schema("block bigint, bits binary").parquet(f"{self.path}/filter-{run.name}")
         byte = lambda spot: F.conv(F.hex(F.substring("bits", (F.floor(spot / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
         is_set = [F.getbit(byte(spot), (spot % 8).cast("int")) == 1 for spot in self._spots()]
-        near = asked.where(ends).withColumn("block", self._block(run)).join(bits, "block")
+        near = asked.where(ends).withColumn("block", self._block(own)).join(bits, "block")
         passed = is_set[0]
         for more in is_set[1:]:
             passed = passed & more
